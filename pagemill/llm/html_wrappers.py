@@ -153,13 +153,14 @@ def _item(node: Node) -> list:
     return [node.key, "1", 1, _squares(items), None, 0]
 
 
-def _merged(a: list, b: list, repeated: bool = False) -> list:
-    """What matches both items."""
+def _merged(a: list, b: list, repeated: bool = False, within: bool = False) -> list:
+    """What matches both items: as siblings (``repeated``), below such siblings (``within``: of one page), or of two pages."""
     order = "1?+*"
     optional = a[1] in "?*" or b[1] in "?*"
     many = repeated or a[1] in "+*" or b[1] in "+*"
     text = a[4] if a[4] == b[4] else None
-    return [a[0], order[optional + 2 * many], max(a[2], b[2]) if repeated else a[2] + b[2], aligned(a[3], b[3], repeated), text, a[5] + b[5]]
+    within = within or repeated
+    return [a[0], order[optional + 2 * many], max(a[2], b[2]) if within else a[2] + b[2], aligned(a[3], b[3], within), text, a[5] + b[5]]
 
 
 def _squares(items: list) -> list:
@@ -188,11 +189,11 @@ def _squares(items: list) -> list:
     return items
 
 
-def aligned(a: list, b: list, repeated: bool = False) -> list:
+def aligned(a: list, b: list, within: bool = False) -> list:
     """Align two levels: what one lacks becomes optional, what both have is merged; mismatches between them stand side by side as optionals."""
     keys, others = [x[0] for x in a], [x[0] for x in b]
     if keys == others:
-        return [_merged(x, y, repeated) for x, y in zip(a, b, strict=True)]
+        return [_merged(x, y, False, within) for x, y in zip(a, b, strict=True)]
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
@@ -202,7 +203,7 @@ def aligned(a: list, b: list, repeated: bool = False) -> list:
     optional = lambda x: [x[0], "?" if x[1] in "1?" else "*", *x[2:]]
     while i < n or j < m:
         if i < n and j < m and keys[i] == others[j]:
-            out.append(_merged(a[i], b[j], repeated))
+            out.append(_merged(a[i], b[j], False, within))
             i, j = i + 1, j + 1
         elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
             out.append(optional(a[i]))
