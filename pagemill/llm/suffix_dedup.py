@@ -252,16 +252,18 @@ def _sorted_groups(batches, length: int, keep: str, crowded: bool):
             yield batch(schema, *found)
 
     schema, both = arrow_schema(_FOUND), arrow_schema(f"{_OPEN}, s0 int, s1 int")
-    rows, held, last = [], 0, None
+    rows, held, last = [], 0, ()
     for b in batches:
         columns = [c.to_pylist() for c in b.columns[:8]] + [as_bytes(b.column(8))]
         for r in zip(*columns, strict=True):
-            if held > 1 << 20 and last != r[:2]:
+            if held > 1 << 20 and last[:2] != r[:2]:
                 yield from emit(rows)
                 rows, held = [], 0
+            if last == (this := (r[0], r[1], r[4], r[6])):
+                continue  # two rows of one document and text give each span twice
             rows.append(r)
             held += len(r[8])
-            last = r[:2]
+            last = this
     if rows:
         yield from emit(rows)
 
@@ -312,16 +314,14 @@ def _removed_runs(docs: DataFrame, length: int, keep: str) -> DataFrame:
         yield from _cut(batches, length)
 
     found = again
+    # one plan from here on, so that the dealt-out texts are shuffled once for all that reads them
     pieces = texts.join(wanted, "doc").select("text", "doc", "node", "wanted").mapInArrow(cut, _CUT)
-    # two rows of one document and text give each span twice
-    pieces = pieces.dropDuplicates(["fp", "lot", "node", "a"])
-    groups = lambda df: df.repartition("fp", "lot").sortWithinPartitions("fp", "lot")
+    groups = lambda df: df.repartition("fp", "lot").sortWithinPartitions("fp", "lot", "node", "a")
     if not crowded.take(1):
         return found.union(groups(pieces).mapInArrow(lambda it: _sorted_groups(it, length, keep, False), _FOUND))
-    pieces = stored(pieces, "pieces")
     calm, busy = pieces.join(crowded, "fp", "left_anti"), pieces.join(crowded, "fp", "left_semi")
     found = found.union(groups(calm).mapInArrow(lambda it: _sorted_groups(it, length, keep, False), _FOUND))
-    opened = stored(groups(busy).mapInArrow(lambda it: _sorted_groups(it, length, keep, True), f"{_OPEN}, s0 int, s1 int"), "windows")
+    opened = groups(busy).mapInArrow(lambda it: _sorted_groups(it, length, keep, True), f"{_OPEN}, s0 int, s1 int")
     found = found.union(opened.where("s0 is not null").select("node", "s0", "s1"))
     opened = opened.where("fp is not null")
     first = F.min(F.struct("doc", "node", "s")).alias("f")
