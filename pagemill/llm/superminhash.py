@@ -8,8 +8,9 @@ that lowers the variance, and elements need not be walked further once every
 slot holds a value below the current rank: the early stop.
 
 Plan: documents -> (set key, signature) -> one class per distinct set -> bands
--> star pairs in each bucket -> exact check on full sets -> components -> pairs
-of different components left in a bucket -> exact check -> components.
+-> star pairs in each bucket -> exact check on full sets -> components -> members
+of different components that share a bucket and look alike -> exact check of
+these in tiles -> components. No step makes the pairs of a group as rows.
 """
 
 from __future__ import annotations
@@ -177,19 +178,27 @@ def _alike(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return full.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def _find(parent: dict[int, int], x: int) -> int:
+    while parent.setdefault(x, x) != x:
+        parent[x] = parent[parent[x]]
+        x = parent[x]
+    return x
+
+
 def _crossing(members: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs of different components that share a bucket and look alike, from tiles of at most TILE x TILE members.
+    """What is left open in the buckets: rows (a, b, None) that tie components whose members look alike, and (None, None, doc) of those members.
 
-    ``members``: bucket, doc, comp. A bucket's members of its most frequent
-    component needn't be compared with each other, and no pair is made before its
-    signatures agree, so large groups of copies cost what is left open in them.
+    ``members``: bucket, doc, comp. Tiles hold at most TILE x TILE members;
+    members of a bucket's most frequent component aren't compared with each
+    other. A tile gives a spanning forest of its components and each member
+    once, so the rows never outgrow the members, however alike a group is.
     """
 
     def run(key, rows):
         import pandas as pd
 
         left, right = rows[rows.side == 0], rows[rows.side == 1]
-        found = [], []
+        ties, docs, parent = [], set(), {}
         if len(left) and len(right):
             x, y = (np.frombuffer(b"".join(s.sketch), np.uint8).reshape(len(s), -1) for s in (left, right))
             cx, cy, dx, dy = left.comp.to_numpy(), right.comp.to_numpy(), left.doc.to_numpy(), right.doc.to_numpy()
@@ -198,9 +207,16 @@ def _crossing(members: DataFrame, reps: DataFrame) -> DataFrame:
                 open_ = np.flatnonzero(cy != cx[i])
                 if len(open_):
                     open_ = open_[(y[open_] == x[i]).sum(axis=1) >= need]
-                    found[0].extend(np.minimum(dx[i], dy[open_]))
-                    found[1].extend(np.maximum(dx[i], dy[open_]))
-        return pd.DataFrame({"a": found[0], "b": found[1]}, dtype="int64").drop_duplicates()
+                    if len(open_):
+                        docs.add(int(dx[i]))
+                        docs.update(dy[open_].tolist())
+                        for c in np.unique(cy[open_]).tolist():
+                            p, q = _find(parent, int(cx[i])), _find(parent, c)
+                            if p != q:
+                                parent[max(p, q)] = min(p, q)
+                                ties.append((int(cx[i]), c))
+        n, m = len(ties), len(docs)
+        return pd.DataFrame({"a": [t[0] for t in ties] + [None] * m, "b": [t[1] for t in ties] + [None] * m, "doc": [None] * n + sorted(docs)}, dtype="Int64")
 
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.mode("comp", deterministic=True).alias("most"))
     sizes = sizes.where("lo <> hi").select("bucket", "most", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
@@ -209,7 +225,58 @@ def _crossing(members: DataFrame, reps: DataFrame) -> DataFrame:
     every = F.explode(F.expr("sequence(0, tiles - 1)"))
     probe = m.select("bucket", "doc", "comp", "sketch", own.alias("t"), every.alias("u"), F.lit(0).alias("side"))
     build = m.where("comp <> most").select("bucket", "doc", "comp", "sketch", every.alias("t"), own.alias("u"), F.lit(1).alias("side"))
-    return probe.union(build).groupBy("bucket", "t", "u").applyInPandas(run, "a long, b long").distinct()
+    return probe.union(build).groupBy("bucket", "t", "u").applyInPandas(run, "a long, b long, doc long").distinct()
+
+
+def _settled(docs: DataFrame, open_: DataFrame, found: DataFrame, sizes: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) that join components, from the exact check of the members that _crossing left open.
+
+    Components that look alike form clusters; a cluster's open members are dealt
+    out in tiles by count and by shingles, and each pair of tiles is checked on
+    full sets in one task, which gives a spanning forest of the links it finds.
+    """
+    ties = open_.where("a is not null").select("a", "b")
+    clusters = connected_components(ties).withColumnsRenamed({"node": "comp", "component": "cluster"})
+    members = open_.where("doc is not null").select("doc").distinct().join(found.withColumnRenamed("node", "doc"), "doc", "left")
+    members = members.select("doc", F.coalesce("component", "doc").alias("comp")).join(clusters, "comp").join(sizes.withColumnRenamed("doc_id", "doc"), "doc")
+    members = stored(members, "open")
+    load = F.greatest(F.count("*") / TILE, F.sum("n_shingles") / (TILE * 600))
+    tiles = members.groupBy("cluster").agg(F.ceil(load).cast("int").alias("tiles"))
+    m = members.join(tiles, "cluster").withColumn("t", F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int"))
+    m = m.join(docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")), "doc")
+    m = m.withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
+    m = m.select("cluster", "doc", "comp", "text", "t", F.least("t", "other").alias("i"), F.greatest("t", "other").alias("j"))
+
+    def run(key, rows):
+        import pandas as pd
+
+        _, i, j = key
+        rows = rows.sort_values("doc")
+        comp, doc, tile = rows.comp.to_numpy(), rows.doc.to_numpy(), rows.t.to_numpy()
+        sets = [shingle_set(_utf8(t), shingle) for t in rows.text]
+        links, parent = [], {}
+        right = np.flatnonzero(tile == j)
+        size = np.array([len(s) for s in sets])
+        right = right[size[right] > 0]
+        if len(right):
+            ids, inverse = np.unique(np.concatenate([sets[r] for r in right]), return_inverse=True)
+            begin = np.r_[0, np.cumsum(size[right])][:-1]
+            seen = np.zeros(len(ids), np.int32)
+            for x in np.flatnonzero((tile == i) & (size > 0)).tolist():
+                at = np.searchsorted(ids, sets[x])
+                at = at[(at < len(ids)) & (ids[np.minimum(at, len(ids) - 1)] == sets[x])]
+                seen[at] = 1
+                both = np.add.reduceat(seen[inverse], begin)
+                seen[at] = 0
+                linked = (both > 0) & (100 * both >= percent * (size[x] + size[right] - both)) & (comp[right] != comp[x])
+                for y in right[linked].tolist():
+                    p, q = _find(parent, int(comp[x])), _find(parent, int(comp[y]))
+                    if p != q:
+                        parent[max(p, q)] = min(p, q)
+                        links.append((int(doc[x]), int(doc[y])))
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return m.groupBy("cluster", "i", "j").applyInPandas(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -227,7 +294,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     f = f.withColumn("usable", F.col("k1").isNotNull() & F.col("doc_id").isNotNull())
     classes = f.where("usable").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     rep_ids = classes.select(F.col("rep").alias("doc_id")).distinct()
-    reps = stored(f.where("usable").join(rep_ids, "doc_id", "left_semi").select("doc_id", "bands", "sketch").dropDuplicates(["doc_id"]), "reps")
+    reps = stored(f.where("usable").join(rep_ids, "doc_id", "left_semi").select("doc_id", "n_shingles", "bands", "sketch").dropDuplicates(["doc_id"]), "reps")
     band = reps.select(F.col("doc_id").alias("doc"), F.explode("bands").alias("bucket"))
     # every bucket's star has the member that is first in one random order of all documents, so stars share centres
     first = F.min(F.struct(F.xxhash64("doc").alias("o"), F.col("doc").alias("centre")))
@@ -239,8 +306,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     found = connected_components(links)
     comp = F.coalesce("component", "doc").alias("comp")
     placed = members.select("bucket", "doc").join(found.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", comp)
-    rest = stored(_crossing(placed, reps).join(tried, ["a", "b"], "left_anti"), "rest")
-    more = verified(docs, rest, shingle, percent)
+    rest = stored(_crossing(placed, reps), "rest")
+    more = _settled(docs, rest, found, reps.select("doc_id", "n_shingles"), shingle, percent)
     found = connected_components(links.union(more))
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("c"))
     out = f.join(named, ["k1", "k2"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")))
