@@ -36,7 +36,7 @@ def test_paragraphs_and_sentences(spark):
 def test_chunks(spark):
     ten = lambda c: C.chunks(c, 10)
     assert column(spark, [None, " ", "exactly 10", "a.\nb", "Aa. Bb. Cc. Dd.", "x" * 25, "Ab. " + "word " * 4, "one  two three"], ten) == [
-        [], [], ["exactly 10"], ["a.\nb"], ["Aa. Bb.", "Cc. Dd."], ["x" * 10], ["Ab.", "word word", "word word"], ["one  two", "three"],
+        [], [], ["exactly 10"], ["a.\nb"], ["Aa. Bb.", "Cc. Dd."], ["x" * 10], ["Ab.", "word word", "word word"], ["one two", "three"],
     ]
     assert column(spark, ["x" * 25 + " y"], lambda c: C.hard_split(c, 10, lossless=True)) == [["x" * 10, "x" * 10, "x" * 5 + " y"]]
 
