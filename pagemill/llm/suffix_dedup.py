@@ -291,8 +291,14 @@ def _removed_runs(docs: DataFrame, length: int, keep: str) -> DataFrame:
     """(node, s0, s1): runs of window starts to remove in the text of key ``node`` (that of its first document, in mode "first")."""
     spans = _spans(docs, length)
     place = F.struct("node", "a")
+    # a table of its own: the join below can split a hot anchor only if neither side is aggregated in its stage
     twice = spans.groupBy("fp").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("fp")
-    spans = spans.join(twice, "fp").groupBy("fp", "sh", "node", "p", "a", "b").agg(F.min("doc").alias("doc"))
+    twice = stored(twice, "twice")
+    # grouped by fp ^ sh, which tells fp as sh is a key too: grouping by fp itself would run in the join's task,
+    # so that a passage of very many documents stayed whole there; so the join can be split and copies meet map-side
+    mixed = F.col("fp").bitwiseXOR(F.col("sh")).alias("mix")
+    spans = spans.join(twice, "fp").groupBy(mixed, "sh", "node", "p", "a", "b").agg(F.min("doc").alias("doc"))
+    spans = spans.select(F.col("mix").bitwiseXOR(F.col("sh")).alias("fp"), "sh", "node", "p", "a", "b", "doc")
     spans = stored(spans, "spans")
     same = ["fp", "sh", "off", "len"]
     spans = spans.withColumns({"off": F.col("p") - F.col("a"), "len": F.col("b") - F.col("a")})
