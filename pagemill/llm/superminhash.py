@@ -218,8 +218,10 @@ def _crossing(members: DataFrame, reps: DataFrame) -> DataFrame:
         n, m = len(ties), len(docs)
         return pd.DataFrame({"a": [t[0] for t in ties] + [None] * m, "b": [t[1] for t in ties] + [None] * m, "doc": [None] * n + sorted(docs)}, dtype="Int64")
 
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.mode("comp", deterministic=True).alias("most"))
-    sizes = sizes.where("lo <> hi").select("bucket", "most", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
+    # counted by component first: the most frequent one of a bucket is then found without holding all its components
+    parts = members.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    sizes = parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.max(F.struct("n", "comp")).alias("m"))
+    sizes = sizes.where("parts > 1").select("bucket", F.col("m.comp").alias("most"), F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
     m = members.join(sizes, "bucket").join(reps.select(F.col("doc_id").alias("doc"), "sketch"), "doc")
     own = F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int")
     every = F.explode(F.expr("sequence(0, tiles - 1)"))
