@@ -8,8 +8,9 @@ small whatever the number of pages, and two wrappers align like two pages, so
 each partition infers its own and they are merged in a tree.
 
 The wrapper tells template from content: a text that all pages of a host repeat
-is no slot, and where no tag names the article, the part of the wrapper that
-holds most of the slots' text is taken for it.
+at one place is no slot, and the article is looked for in the part of the wrapper
+that holds most of the slots' text. Tags and names are hints inside that part;
+they decide alone for hosts of fewer than TEMPLATE_PAGES pages only.
 """
 
 from __future__ import annotations
@@ -52,10 +53,12 @@ _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE) for name in
 
 
 class Node:
-    __slots__ = ("tag", "key", "around", "main", "children")
+    __slots__ = ("tag", "key", "around", "main", "children", "place")
 
-    def __init__(self, tag: str, key: str = "", around: bool = False, main: int = 0):
+    def __init__(self, tag: str, key: str = "", around: bool = False, main: int = 0, above: int = 0):
         self.tag, self.key, self.around, self.main, self.children = tag, key or tag, around, main, []
+        #: Stands for the keys from the root to here, within a process.
+        self.place = hash((above, self.key))
 
 
 _known: dict[str, tuple[str, bool, int]] = {}
@@ -127,7 +130,7 @@ def parse(page: str) -> Node:
                     break
                 if stack[i].tag in BLOCK:
                     break
-        node = Node(tag, *_looks(tag, token))
+        node = Node(tag, *_looks(tag, token), stack[-1].place)
         stack[-1].children.append(node)
         if tag in RAW:
             close = _RAW_END[tag].search(page, at)
@@ -264,17 +267,26 @@ def _regions(node: Node, level: int, out: list[Node]) -> None:
                 _regions(c, level, out)
 
 
+def _marked(node: Node) -> tuple[int, list[Node]]:
+    """The parts below a node that tags, roles and names mark as the article: article, then main, then names like ``content``."""
+    for level in (3, 2, 1):
+        found: list[Node] = []
+        _regions(node, level, found)
+        if found:
+            return level, found
+    return 0, []
+
+
 _HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
-def _blocks(node: Node, template, out: list[list[str]], in_header: bool = False) -> None:
-    """Pieces of text of each block below a node; ``template(text)`` tells texts that the host's pages share."""
+def _blocks(node: Node, shared: set[tuple[int, str]], out: list[list[str]], in_header: bool = False) -> None:
+    """Pieces of text of each block below a node, without the texts ``shared`` by the host's pages at their places."""
     for c in node.children:
         if isinstance(c, str):
             if not in_header or node.tag in _HEADING:
-                text = html.unescape(c)
-                if not (template and template(c)):
-                    out[-1].append(text)
+                if not (shared and (node.place, c.strip()[:200]) in shared):
+                    out[-1].append(html.unescape(c))
         elif c.tag == "br":
             out[-1].append("\n")
         elif not c.around:
@@ -282,50 +294,65 @@ def _blocks(node: Node, template, out: list[list[str]], in_header: bool = False)
             block = c.tag in BLOCK
             if block:
                 out.append([])
-            _blocks(c, template, out, (in_header and not header) or c.tag == "header" or c.key.endswith(".header"))
+            _blocks(c, shared, out, (in_header and not header) or c.tag == "header" or c.key.endswith(".header"))
             if block:
                 out.append([])
 
 
-def extract(page: str, wrapper: list | None = None) -> str:
-    """The main text of a page: its blocks, white space collapsed, joined by line breaks.
-
-    The article is what the tags, roles and names mark (article, then main, then
-    names like ``content``); without any, the part of the host's wrapper with the
-    most slot text, without the texts that all pages of the host share there.
-    """
-    root = parse(page)
-    found: list[Node] = []
-    for level in (3, 2, 1):
-        _regions(root, level, found)
-        if found:
-            break
-    template = None
-    if not found:
-        node = root
-        for key in content_path(wrapper):
-            down = next((c for c in node.children if isinstance(c, Node) and c.key == key), None)
-            if down is None:
-                break
-            node = down
-        found = [node]
-        if wrapper and wrapper[2] >= TEMPLATE_PAGES:
-            shared: set[str] = set()
-            _constants(wrapper, wrapper[2], shared)
-            template = (lambda t: t.strip()[:200] in shared) if shared else None
+def _text(found: list[Node], shared: set[tuple[int, str]]) -> str:
     out: list[list[str]] = [[]]
     for node in found:
         out.append([])
-        _blocks(node, template, out)
+        _blocks(node, shared, out)
     lines = (" ".join("".join(b).split()) for b in out)
     return "\n".join(x for x in lines if x)
 
 
-def _constants(item: list, pages: int, out: set[str]) -> None:
-    if item[0] == "#" and item[4] and item[2] >= pages:
-        out.add(item[4])
+class Reading:
+    """What a host's wrapper says of its pages: where the content is, and the template's texts with their places."""
+
+    def __init__(self, wrapper: list | None):
+        self.path = content_path(wrapper)
+        self.enough = bool(wrapper) and wrapper[2] >= TEMPLATE_PAGES
+        self.shared: set[tuple[int, str]] = set()
+        if self.enough:
+            _constants(wrapper, wrapper[2], 0, self.shared)
+
+
+def _constants(item: list, pages: int, above: int, out: set[tuple[int, str]]) -> None:
+    if item[0] == "#":
+        if item[4] and item[2] >= pages:
+            out.add((above, item[4]))
+        return
+    place = above if item[0][0] == "(" else hash((above, item[0]))
     for x in item[3]:
-        _constants(x, pages, out)
+        _constants(x, pages, place, out)
+
+
+def extract(page: str, wrapper: list | Reading | None = None) -> str:
+    """The main text of a page: its blocks, white space collapsed, joined by line breaks.
+
+    The host's wrapper leads to the part with the most slot text. The article is
+    what the tags, roles and names mark on the way there or inside it (article,
+    then main, then names like ``content``), else that part itself, without the
+    texts that all pages of the host share. A host of too few pages, and a page
+    that has no text in its host's part, are read by the marks first.
+    """
+    root = parse(page)
+    r = wrapper if isinstance(wrapper, Reading) else Reading(wrapper)
+    way = [root]
+    for key in r.path:
+        down = next((c for c in way[-1].children if isinstance(c, Node) and c.key == key), None)
+        if down is None:
+            break
+        way.append(down)
+    if r.enough:
+        on = max(way, key=lambda n: n.main)
+        level, found = _marked(way[-1])
+        text = _text([on] if on.main and on.main >= level else found or way[-1:], r.shared)
+        if text:
+            return text
+    return _text(_marked(root)[1] or way[-1:], r.shared)
 
 
 def host(url: str | None) -> str:
@@ -403,7 +430,7 @@ def main_text(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
 
     def run(batches):
         schema = arrow_schema(ddl)
-        known: dict[str, list | None] = {}
+        known: dict[str, Reading] = {}
         for b in batches:
             ids, urls, own = (b.column(i).to_pylist() for i in (0, 1, 3))
             out, start, held = [], 0, 0
@@ -412,7 +439,7 @@ def main_text(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
                 if len(known) > 1000:
                     known.clear()
                 if raw is not None and raw not in known:
-                    known[raw] = json.loads(raw)
+                    known[raw] = Reading(json.loads(raw))
                 out.append(extract(text.decode(), known.get(raw)) if text else "")
                 held += len(out[-1])
                 if held > 4 << 20:

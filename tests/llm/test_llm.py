@@ -198,6 +198,23 @@ def test_html_wrappers(spark):
     assert got[4] == ("thing 4\nthing 4 0\nthing 4 1", 27) and got[90] == ("", 0) and got[91] == ("", 0) and got[None][0] == "z\nz 0"
 
 
+def wrapper_of(pages):
+    items = [html_wrappers._item(html_wrappers.parse(p)) for p in pages]
+    whole = items[0]
+    for item in items[1:]:
+        whole = html_wrappers._merged(whole, item)
+    return whole
+
+
+def test_the_wrapper_chooses_for_marked_pages():
+    # the template's text goes from marked articles too, and marks outside of the host's region don't count
+    pages = [f"<body><article><h1>T {i}</h1><p>text {i} {'x' * i}</p><span>Share this</span></article></body>" for i in range(5)]
+    assert html_wrappers.extract(pages[3], wrapper_of(pages)) == "T 3\ntext 3 xxx"
+    assert html_wrappers.extract(pages[1], wrapper_of(pages[:2])) == "T 1\ntext 1 x\nShare this"
+    pages = [f"<body><article>Our best</article><div class=c><h1>T {i}</h1><p>{f'long {i} ' * 9}</p></div></body>" for i in range(5)]
+    assert html_wrappers.extract(pages[3], wrapper_of(pages)) == "T 3\n" + "long 3 " * 8 + "long 3"
+
+
 def test_pages_against_a_plain_reading(spark):
     import html
 
