@@ -15,6 +15,7 @@ they decide alone for hosts of fewer than TEMPLATE_PAGES pages only.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -140,7 +141,21 @@ def parse(page: str) -> Node:
     return root
 
 
-# A wrapper item is [key, quantifier, pages, items, text, chars]: of an element its items; of a text slot ("#") the text, null if it differs, and its characters over all pages.
+# A wrapper item is [key, quantifier, pages, items, text, chars]: of an element its items; of a text slot ("#") the text as by _same, null if it differs, and its characters over all pages.
+# The root has one more: the smallest digests of the texts of up to TEMPLATE_PAGES pages that differ.
+
+
+def _same(text: str) -> str:
+    """Stands for a whole text: itself if short, or its start, length and 128-bit digest (longer than any short one)."""
+    text = text.strip()
+    return text if len(text) <= 64 else f"{text[:40]}...{len(text)}:{hashlib.blake2b(text.encode('utf-8', 'surrogatepass'), digest_size=16).hexdigest()}"
+
+
+def _page(page: str) -> list:
+    """The wrapper of a single page."""
+    root = parse(page)
+    whole = hashlib.blake2b(_text([root], set()).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+    return [*_item(root), [whole]]
 
 
 def _item(node: Node) -> list:
@@ -148,7 +163,7 @@ def _item(node: Node) -> list:
     for c in node.children:
         if isinstance(c, str):
             if not c.isspace():
-                items.append(["#", "1", 1, [], c.strip()[:200], len(c)])
+                items.append(["#", "1", 1, [], _same(c), len(c)])
         elif not c.around:
             items.append(_item(c))
         else:
@@ -163,7 +178,8 @@ def _merged(a: list, b: list, repeated: bool = False, within: bool = False) -> l
     many = repeated or a[1] in "+*" or b[1] in "+*"
     text = a[4] if a[4] == b[4] else None
     within = within or repeated
-    return [a[0], order[optional + 2 * many], max(a[2], b[2]) if within else a[2] + b[2], aligned(a[3], b[3], within), text, a[5] + b[5]]
+    out = [a[0], order[optional + 2 * many], max(a[2], b[2]) if within else a[2] + b[2], aligned(a[3], b[3], within), text, a[5] + b[5]]
+    return [*out, sorted({*a[6], *b[6]})[:TEMPLATE_PAGES]] if len(a) > 6 else out
 
 
 def _squares(items: list) -> list:
@@ -245,6 +261,11 @@ def _slot_chars(item: list) -> int:
 
 def content_path(wrapper: list | None) -> list[str]:
     """Keys from the root down to the part that holds at least 80% of the slots' text."""
+    return _region(wrapper)[0]
+
+
+def _region(wrapper: list | None) -> tuple[list[str], list | None]:
+    """The content path and the item it leads to."""
     path: list[str] = []
     while wrapper:
         total = _slot_chars(wrapper)
@@ -252,10 +273,10 @@ def content_path(wrapper: list | None) -> list[str]:
         best = max(flat, key=_slot_chars, default=None)
         # a repeated item is one of many paragraphs, not the region itself
         if best is None or not total or best[1] in "+*" or _slot_chars(best) < 0.8 * total or best[0].split(".")[0] in ("p", "span", "pre", "blockquote"):
-            return path
+            return path, wrapper
         path.append(best[0])
         wrapper = best
-    return path
+    return path, wrapper
 
 
 def _regions(node: Node, level: int, out: list[Node]) -> None:
@@ -285,7 +306,7 @@ def _blocks(node: Node, shared: set[tuple[int, str]], out: list[list[str]], in_h
     for c in node.children:
         if isinstance(c, str):
             if not in_header or node.tag in _HEADING:
-                if not (shared and (node.place, c.strip()[:200]) in shared):
+                if not (shared and (node.place, _same(c)) in shared):
                     out[-1].append(html.unescape(c))
         elif c.tag == "br":
             out[-1].append("\n")
@@ -299,6 +320,31 @@ def _blocks(node: Node, shared: set[tuple[int, str]], out: list[list[str]], in_h
                 out.append([])
 
 
+def _content(found: list[Node], shared: set[tuple[int, str]]) -> str:
+    """The text without the template's, unless that is all of it or holds all of its headings: near copies share those."""
+    whole = _text(found, set())
+    rest = _text(found, shared) if shared else whole
+    if not rest:
+        return whole
+    if rest != whole:
+        headings = {c.place for node in found for c in _headings(node)}
+        kept = {x for x in shared if x[0] not in headings}
+        if len(kept) < len(shared) and not any((c.place, _same(t)) not in shared for node in found for c in _headings(node) for t in c.children if isinstance(t, str) and not t.isspace()):
+            return _text(found, kept)
+    return rest
+
+
+def _headings(node: Node) -> list[Node]:
+    """The headings of a part and what they hold."""
+    out, todo = [], [(node, False)]
+    while todo:
+        n, inside = todo.pop()
+        inside = inside or n.tag in _HEADING
+        out += [n] if inside else []
+        todo += [(c, inside) for c in n.children if isinstance(c, Node) and not c.around]
+    return out
+
+
 def _text(found: list[Node], shared: set[tuple[int, str]]) -> str:
     out: list[list[str]] = [[]]
     for node in found:
@@ -312,13 +358,18 @@ class Reading:
     """What a host's wrapper says of its pages: where the content is, and the template's texts with their places."""
 
     def __init__(self, wrapper: list | None):
-        self.path = content_path(wrapper)
+        self.path, region = _region(wrapper)
         self.enough = bool(wrapper) and wrapper[2] >= TEMPLATE_PAGES
         self.shared: set[tuple[int, str]] = set()
-        if self.enough:
+        # copies of a page share all of it, near copies most, which tells nothing of a template
+        if self.enough and len(wrapper[6]) >= TEMPLATE_PAGES and _constant_chars(region, wrapper[2]) < _slot_chars(region):
             _constants(wrapper, wrapper[2], 0, self.shared)
 
 
+def _constant_chars(item: list, pages: int) -> int:
+    return (item[5] if item[0] == "#" and item[4] and item[2] >= pages else 0) + sum(_constant_chars(x, pages) for x in item[3])
+
+
 def _constants(item: list, pages: int, above: int, out: set[tuple[int, str]]) -> None:
     if item[0] == "#":
         if item[4] and item[2] >= pages:
@@ -335,8 +386,10 @@ def extract(page: str, wrapper: list | Reading | None = None) -> str:
     The host's wrapper leads to the part with the most slot text. The article is
     what the tags, roles and names mark on the way there or inside it (article,
     then main, then names like ``content``), else that part itself, without the
-    texts that all pages of the host share. A host of too few pages, and a page
-    that has no text in its host's part, are read by the marks first.
+    texts that all pages of the host share (whole texts, where at least
+    TEMPLATE_PAGES pages differ; not if they are half of the host's part or all of
+    the page's headings). A host of too few pages, and a page that has no text in its
+    host's part, are read by the marks first.
     """
     root = parse(page)
     r = wrapper if isinstance(wrapper, Reading) else Reading(wrapper)
@@ -349,10 +402,10 @@ def extract(page: str, wrapper: list | Reading | None = None) -> str:
     if r.enough:
         on = max(way, key=lambda n: n.main)
         level, found = _marked(way[-1])
-        text = _text([on] if on.main and on.main >= level else found or way[-1:], r.shared)
+        text = _content([on] if on.main and on.main >= level else found or way[-1:], r.shared)
         if text:
             return text
-    return _text(_marked(root)[1] or way[-1:], r.shared)
+    return _content(_marked(root)[1] or way[-1:], r.shared)
 
 
 def host(url: str | None) -> str:
@@ -385,7 +438,7 @@ def infer(pages: DataFrame) -> DataFrame:
         for b in batches:
             for url, text in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True):
                 if text:
-                    item = _item(parse(text.decode()))
+                    item = _page(text.decode())
                     name = host(url)
                     held[name] = _merged(held[name], item) if name in held else item
                     if len(held) >= 5000:

@@ -199,7 +199,7 @@ def test_html_wrappers(spark):
 
 
 def wrapper_of(pages):
-    items = [html_wrappers._item(html_wrappers.parse(p)) for p in pages]
+    items = [html_wrappers._page(p) for p in pages]
     whole = items[0]
     for item in items[1:]:
         whole = html_wrappers._merged(whole, item)
@@ -215,6 +215,18 @@ def test_the_wrapper_chooses_for_marked_pages():
     assert html_wrappers.extract(pages[3], wrapper_of(pages)) == "T 3\n" + "long 3 " * 8 + "long 3"
 
 
+def test_template_texts_are_whole_texts():
+    lead = "common words " * 30
+    pages = [f"<body><div><h2>T {i}</h2><p>{lead}{i}</p><span>Share</span></div></body>" for i in range(4)]
+    assert html_wrappers.extract(pages[2], wrapper_of(pages)) == f"T 2\n{lead}2"
+    copies = ["<body><div><h2>T</h2><p>one</p><p>two</p><div>lone</div></div></body>"] * 5
+    assert html_wrappers.extract(copies[0], wrapper_of(copies)) == "T\none\ntwo\nlone"
+    near = [f"<body><div><h2>T</h2><div>a long lone text</div><p>{i}</p></div></body>" for i in range(5)]
+    assert html_wrappers.extract(near[2], wrapper_of(near)) == "T\na long lone text\n2"
+    near = [f"<body><div><h2>T</h2><p>text {i} {'x' * 50}</p><div>Share</div></div></body>" for i in range(5)]
+    assert html_wrappers.extract(near[2], wrapper_of(near)) == f"T\ntext 2 {'x' * 50}"
+
+
 def test_pages_against_a_plain_reading(spark):
     import html
 
