@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,3 +86,19 @@ def failure_streaks(df: DataFrame, key: str, order: str, failed: Column, most: i
     df = df.withColumn("_failed", failed.cast("int")).withColumn("_island", F.sum(1 - F.col("_failed")).over(w))
     streak = F.sum("_failed").over(Window.partitionBy(key, "_island").orderBy(order))
     return df.withColumn("streak", streak).withColumn("abort", F.col("streak") >= most).drop("_failed", "_island")
+
+
+def places(df: DataFrame, order: str, ranges: int = 512) -> DataFrame:
+    """Adds ``place``: 1 for the smallest of the numeric column ``order`` and on, nulls last, over all rows.
+
+    Ranges of about equal size are numbered each and moved by the exact counts of those
+    before, so no window holds more than a range; equal values of ``order`` are in any order.
+    """
+    edges = df.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.25 / ranges)
+    cut = Bucketizer(splits=[-float("inf"), *(sorted(set(edges)) or [0.0]), float("inf")], inputCol="_value", outputCol="_range", handleInvalid="keep")
+    dealt = cut.transform(df.withColumn("_value", F.coalesce(F.col(order).cast("double"), F.lit(float("nan"))))).drop("_value")
+    # at most one row a range
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = dealt.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", before.alias("_before"))
+    row = F.row_number().over(Window.partitionBy("_range").orderBy(F.col(order).asc_nulls_last()))
+    return dealt.withColumn("_row", row).join(F.broadcast(counts), "_range").withColumn("place", (F.col("_row") + F.col("_before")).cast("long")).drop("_range", "_row", "_before")

@@ -224,6 +224,12 @@ def queue_order(spark, d):
     return jobs(spark, d).where("status = 'QUEUED' and job_id <= 2000").select("job_id", F.row_number().over(w).cast("long").alias("place"))
 
 
+@query(f"SELECT job_id, row_number() OVER (ORDER BY job_id)::BIGINT AS place FROM ({_JOBS}) WHERE status = 'QUEUED'")
+def queue_order_all(spark, d):
+    """The whole queue; queue_order's SQL is of its first job_ids."""
+    return J.places(jobs(spark, d).where("status = 'QUEUED'").select("job_id"), "job_id")
+
+
 @query(f"SELECT job_id, status IN ('COMPLETED', 'FAILED', 'CANCELLED') AS is_terminal, status IN ('QUEUED', 'RUNNING', 'PAUSED') AS is_active FROM ({_JOBS})")
 def job_status_flags(spark, d):
     return jobs(spark, d).select("job_id", F.col("status").isin(*formats.TERMINAL).alias("is_terminal"), F.col("status").isin(*formats.ACTIVE).alias("is_active"))

@@ -93,6 +93,21 @@ def test_streaks_restart(spark):
     assert [r.streak for r in rows] == [1, 2, 0, 1, 2, 3] and [r.abort for r in rows] == [False] * 5 + [True]
 
 
+def test_places(spark):
+    rows = [7, None, 3, 3, -1, *range(100, 3100)]
+    got = {}
+    for r in J.places(spark.createDataFrame([(x,) for x in rows], "id long").repartition(3), "id", ranges=16).collect():
+        got.setdefault(r.id, set()).add(r.place)
+    assert got == {-1: {1}, 3: {2, 3}, 7: {4}, None: {len(rows)}} | {x: {x - 95} for x in range(100, 3100)}
+    assert J.places(spark.createDataFrame([], "id long"), "id").count() == 0
+
+
+def test_the_whole_queue_is_in_order(spark):
+    queued = QUERIES["queue_summary"](spark, SF).first().queued
+    places = [r.place for r in QUERIES["queue_order_all"](spark, SF).orderBy("job_id").collect()]
+    assert places == list(range(1, queued + 1))
+
+
 def test_page_log_round_trip(spark, tmp_path):
     pages = spark.createDataFrame([("j1", 0, 'a "quoted"\nline'), ("j2", 3, "")], "job_id string, page long, text string")
     records.append_page_log(pages.withColumn("job_id", F.col("job_id")), str(tmp_path / "log"))
