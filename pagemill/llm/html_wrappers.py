@@ -19,13 +19,14 @@ import hashlib
 import html
 import json
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, as_bytes, batch
 
-#: Items of one level of a wrapper; longer levels fold equal tags into one repeated item.
+#: Items of one level of a wrapper; longer levels have one item a key, and all keys.
 LEVEL = 48
 DEPTH = 120
 #: Wrappers go to the tasks by broadcast up to so many bytes, beyond that by a join.
@@ -141,7 +142,8 @@ def parse(page: str) -> Node:
     return root
 
 
-# A wrapper item is [key, quantifier, pages, items, text, chars]: of an element its items; of a text slot ("#") the text as by _same, null if it differs, and its characters over all pages.
+# A wrapper item is [key, quantifier, pages, items, text, chars, repeats]: of an element its items and the keys that one element has twice or more;
+# of a text slot ("#") the text as by _same, null if it differs, and its characters over all pages.
 # The root has one more: the smallest digests of the texts of up to TEMPLATE_PAGES pages that differ.
 
 
@@ -163,12 +165,13 @@ def _item(node: Node) -> list:
     for c in node.children:
         if isinstance(c, str):
             if not c.isspace():
-                items.append(["#", "1", 1, [], _same(c), len(c)])
+                items.append(["#", "1", 1, [], _same(c), len(c), []])
         elif not c.around:
             items.append(_item(c))
         else:
-            items.append([c.key, "1", 1, [], None, 0])
-    return [node.key, "1", 1, _squares(items), None, 0]
+            items.append([c.key, "1", 1, [], None, 0, []])
+    repeats = sorted(k for k, n in Counter(x[0] for x in items).items() if n > 1)
+    return [node.key, "1", 1, _squares(items, repeats), None, 0, repeats]
 
 
 def _merged(a: list, b: list, repeated: bool = False, within: bool = False) -> list:
@@ -178,37 +181,40 @@ def _merged(a: list, b: list, repeated: bool = False, within: bool = False) -> l
     many = repeated or a[1] in "+*" or b[1] in "+*"
     text = a[4] if a[4] == b[4] else None
     within = within or repeated
-    out = [a[0], order[optional + 2 * many], max(a[2], b[2]) if within else a[2] + b[2], aligned(a[3], b[3], within), text, a[5] + b[5]]
-    return [*out, sorted({*a[6], *b[6]})[:TEMPLATE_PAGES]] if len(a) > 6 else out
+    repeats = sorted({*a[6], *b[6]})
+    out = [a[0], order[optional + 2 * many], max(a[2], b[2]) if within else a[2] + b[2], aligned(a[3], b[3], within, repeats), text, a[5] + b[5], repeats]
+    return [*out, sorted({*a[7], *b[7]})[:TEMPLATE_PAGES]] if len(a) > 7 else out
 
 
-def _squares(items: list) -> list:
-    """Repeats of up to four siblings next to each other as one repeated item each."""
+def _squares(items: list, repeats: list, within: bool = True) -> list:
+    """Repeats of up to four siblings next to each other as one repeated item each; only of keys that repeat in one element."""
     for width in (1, 2, 3, 4):
         out, i = [], 0
         while i < len(items):
             run = items[i : i + width]
             keys = [x[0] for x in run]
             j = i + width
-            while len(run) == width and "#" not in keys[:1] and [x[0] for x in items[j : j + width]] == keys:
+            while len(run) == width and "#" not in keys[:1] and all(k in repeats for k in keys) and [x[0] for x in items[j : j + width]] == keys:
                 run = [_merged(x, y, True) for x, y in zip(run, items[j : j + width], strict=True)]
                 j += width
             if j > i + width:
-                out += run if width == 1 else [["(" + " ".join(keys) + ")", "+", 1, run, None, 0]]
+                out += run if width == 1 else [["(" + " ".join(keys) + ")", "+", 1, run, None, 0, []]]
                 i = j
             else:
                 out.append(items[i])
                 i += 1
         items = out
     if len(items) > LEVEL:
-        by: dict[str, list] = {}
-        for x in items:
-            by[x[0]] = _merged(by[x[0]], x, True) if x[0] in by else x
-        items = [[x[0], "*", *x[2:]] for x in by.values()][: 4 * LEVEL]
+        # texts that no page lacks stay apart; items of a key that no element repeats are of different pages, so that these add up
+        by: dict[tuple, list] = {}
+        for x in (x for xs in _flat(items).values() for x in xs):
+            key = x[0], x[4] if x[0] == "#" and x[1] == "1" else None
+            by[key] = _merged(by[key], x, x[0] in repeats or x[0] == "#", within) if key in by else x
+        items = [x if k[1] is not None else [x[0], "*" if x[0] in repeats else "?", *x[2:]] for k, x in by.items()]
     return items
 
 
-def aligned(a: list, b: list, within: bool = False) -> list:
+def aligned(a: list, b: list, within: bool = False, repeats: list = ()) -> list:
     """Align two levels: what one lacks becomes optional, what both have is merged; mismatches between them stand side by side as optionals."""
     keys, others = [x[0] for x in a], [x[0] for x in b]
     if keys == others:
@@ -230,7 +236,7 @@ def aligned(a: list, b: list, within: bool = False) -> list:
         else:
             out.append(optional(b[j]))
             j += 1
-    return _squares(out)
+    return _squares(out, repeats, within)
 
 
 def regular_expression(item: list) -> str:
@@ -255,28 +261,58 @@ def _flat(items: list) -> dict[str, list]:
     return out
 
 
-def _slot_chars(item: list) -> int:
-    return (item[5] if item[0] == "#" and item[4] is None else 0) + sum(_slot_chars(x) for x in item[3])
+def _shared(wrapper: list | None) -> set[tuple[int, str]]:
+    """Texts that all pages have at a place, wherever the alignment has put them, with the place."""
+    pages: dict[tuple[int, str], int] = {}
+
+    def read(item: list, above: int, once: bool) -> None:
+        if item[0] == "#":
+            if item[4]:
+                known = pages.get((above, item[4]), 0)
+                # items that no element repeats are of different pages
+                pages[above, item[4]] = known + item[2] if once else max(known, item[2])
+            return
+        place = above if item[0][0] == "(" else hash((above, item[0]))
+        for x in item[3]:
+            read(x, place, once and item[0][0] != "(" and x[0] not in item[6])
+
+    if wrapper:
+        read(wrapper, 0, True)
+    return {x for x, n in pages.items() if n >= wrapper[2]}
+
+
+def _chars(item: list, above: int, shared: set[tuple[int, str]]) -> tuple[int, int]:
+    """Characters of the texts below an item: of slots, and of texts that all pages share."""
+    if item[0] == "#":
+        return (0, item[5]) if (above, item[4]) in shared else (item[5], 0)
+    place = above if item[0][0] == "(" else hash((above, item[0]))
+    both = [_chars(x, place, shared) for x in item[3]]
+    return sum(x for x, _ in both), sum(y for _, y in both)
 
 
 def content_path(wrapper: list | None) -> list[str]:
     """Keys from the root down to the part that holds at least 80% of the slots' text."""
-    return _region(wrapper)[0]
+    return _region(wrapper, _shared(wrapper))[0]
 
 
-def _region(wrapper: list | None) -> tuple[list[str], list | None]:
-    """The content path and the item it leads to."""
+def _region(wrapper: list | None, shared: set[tuple[int, str]]) -> tuple[list[str], int, int]:
+    """The content path, and the characters of slots and of shared texts in the part it leads to."""
     path: list[str] = []
-    while wrapper:
-        total = _slot_chars(wrapper)
-        flat = [x for xs in _flat(wrapper[3]).values() for x in xs if x[0] != "#"]
-        best = max(flat, key=_slot_chars, default=None)
+    at, above = [wrapper] if wrapper else [], 0
+    total, constant = _chars(wrapper, 0, shared) if wrapper else (0, 0)
+    while total:
+        above = hash((above, at[0][0]))
+        below: dict[str, list] = {}
+        for key, xs in ((k, xs) for x in at for k, xs in _flat(x[3]).items() if k != "#"):
+            below.setdefault(key, []).extend(xs)
+        chars = {k: tuple(map(sum, zip(*(_chars(x, above, shared) for x in xs), strict=True))) for k, xs in below.items()}
+        best = max(chars, key=lambda k: (chars[k], k), default=None)
         # a repeated item is one of many paragraphs, not the region itself
-        if best is None or not total or best[1] in "+*" or _slot_chars(best) < 0.8 * total or best[0].split(".")[0] in ("p", "span", "pre", "blockquote"):
-            return path, wrapper
-        path.append(best[0])
-        wrapper = best
-    return path, wrapper
+        if best is None or any(best in x[6] for x in at) or chars[best][0] < 0.8 * total or best.split(".")[0] in ("p", "span", "pre", "blockquote"):
+            break
+        path.append(best)
+        at, (total, constant) = below[best], chars[best]
+    return path, total, constant
 
 
 def _regions(node: Node, level: int, out: list[Node]) -> None:
@@ -358,26 +394,11 @@ class Reading:
     """What a host's wrapper says of its pages: where the content is, and the template's texts with their places."""
 
     def __init__(self, wrapper: list | None):
-        self.path, region = _region(wrapper)
+        shared = _shared(wrapper)
+        self.path, slots, constant = _region(wrapper, shared)
         self.enough = bool(wrapper) and wrapper[2] >= TEMPLATE_PAGES
-        self.shared: set[tuple[int, str]] = set()
         # copies of a page share all of it, near copies most, which tells nothing of a template
-        if self.enough and len(wrapper[6]) >= TEMPLATE_PAGES and _constant_chars(region, wrapper[2]) < _slot_chars(region):
-            _constants(wrapper, wrapper[2], 0, self.shared)
-
-
-def _constant_chars(item: list, pages: int) -> int:
-    return (item[5] if item[0] == "#" and item[4] and item[2] >= pages else 0) + sum(_constant_chars(x, pages) for x in item[3])
-
-
-def _constants(item: list, pages: int, above: int, out: set[tuple[int, str]]) -> None:
-    if item[0] == "#":
-        if item[4] and item[2] >= pages:
-            out.add((above, item[4]))
-        return
-    place = above if item[0][0] == "(" else hash((above, item[0]))
-    for x in item[3]:
-        _constants(x, pages, place, out)
+        self.shared = shared if self.enough and len(wrapper[7]) >= TEMPLATE_PAGES and constant < slots else set()
 
 
 def extract(page: str, wrapper: list | Reading | None = None) -> str:

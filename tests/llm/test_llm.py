@@ -227,6 +227,19 @@ def test_template_texts_are_whole_texts():
     assert html_wrappers.extract(near[2], wrapper_of(near)) == f"T\ntext 2 {'x' * 50}"
 
 
+def test_the_region_does_not_depend_on_the_number_of_pages():
+    name = lambda i: "k" + "".join("abcdefghij"[int(d)] for d in str(i))
+    around = lambda i: f"<div class={name(i % 250)}>around {i}</div>"
+    page = lambda i: f"<body>{around(i)}{around(7 * i)}<div class=z><h1>T {i}</h1><p>{f'text {i} ' * 20}</p><b>Share</b></div>{around(3 * i)}</body>"
+    texts = []
+    for n in (5, 30, 400):
+        whole = wrapper_of([page(i) for i in range(n)])
+        assert html_wrappers.content_path(whole) == ["body", "div.class=z"]
+        texts.append(html_wrappers.extract(page(4), whole))
+    assert set(texts) == {"T 4\n" + " ".join(["text 4"] * 20)}
+    assert len(whole[3][0][3]) > 192
+
+
 def test_pages_against_a_plain_reading(spark):
     import html
 
