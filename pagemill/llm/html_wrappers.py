@@ -36,13 +36,15 @@ TEMPLATE_PAGES = 3
 
 # Fixed values of the HTML standard: elements without content, with raw content, blocks, and what closes an open paragraph.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript iframe xmp noembed noframes".split())
+RAW = set("script style textarea title iframe xmp noembed noframes".split())
 BLOCK = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-NO_TEXT = set("head script style noscript template iframe svg canvas object embed form button input select option textarea label title nav footer aside dialog menu xmp noembed noframes audio video math".split())
+NO_TEXT = set("head script style template iframe svg canvas embed form button input select option textarea label title nav footer aside dialog menu xmp noembed noframes audio video".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"tr", "td", "th", "thead"}, "tfoot": {"tr", "td", "th", "tbody"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
 # Words of class, id and role that mark what isn't the article.
 AROUND = set("ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored sponsors promo promos promotion banner nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside footer masthead cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond widget widgets pagination pager skip toolbar search searchbox contentinfo complementary".split())
+# First parts of names that tell of something else than the element: has-sidebar, no-comments.
+ABOUT = set("has have no not non with without".split())
 HEADER = {"header", "pageheader", "siteheader", "topbar"}
 MAIN = set("article content main post entry story articlebody postcontent entrycontent maincontent articlecontent".split())
 
@@ -57,27 +59,37 @@ _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE) for name in
 class Node:
     __slots__ = ("tag", "key", "around", "main", "children", "place")
 
-    def __init__(self, tag: str, key: str = "", around: bool = False, main: int = 0, above: int = 0):
+    def __init__(self, tag: str, key: str = "", around: int = 0, main: int = 0, above: int = 0):
         self.tag, self.key, self.around, self.main, self.children = tag, key or tag, around, main, []
         #: Stands for the keys from the root to here, within a process.
         self.place = hash((above, self.key))
 
 
-_known: dict[str, tuple[str, bool, int]] = {}
+_known: dict[str, tuple[str, int, int]] = {}
 
 
-def _looks(tag: str, token: str) -> tuple[str, bool, int]:
-    """Key of a start tag in the stream, whether it is around the article, and how surely it is the article."""
+def _beside(value: str) -> bool:
+    """Whether a class, id or role marks what isn't the article: whole names go before parts of names."""
+    whole = value.split()
+    if any(v in AROUND for v in whole):
+        return True
+    if any(_SPLIT.sub("", v) in MAIN for v in whole):
+        return False
+    return any(p in AROUND for v in whole if (parts := _SPLIT.split(v))[0] not in ABOUT for p in parts)
+
+
+def _looks(tag: str, token: str) -> tuple[str, int, int]:
+    """Key of a start tag in the stream, whether it is around the article (1 by its names, which may err, 2 surely), and how surely it is the article."""
     known = _known.get(token)
     if known is None:
-        names, around, main = [], tag in NO_TEXT, {"article": 3, "main": 2}.get(tag, 0)
+        names, around, main = [], 2 * (tag in NO_TEXT), {"article": 3, "main": 2}.get(tag, 0)
         for a in _ATTRIBUTE.finditer(token[1 + len(tag) :]):
             name, value = (a[1] or a[5]).lower(), html.unescape(a[2] or a[3] or a[4] or "").lower()
             if name in ("class", "id", "role"):
                 parts = [p for v in value.split() for p in (v, *_SPLIT.split(v))]
                 names += [f"{name}={v}" for v in sorted(value.split())] if name != "id" else []
                 if tag not in ("html", "body"):
-                    around = around or any(p in AROUND for p in parts) and not (tag in ("article", "main") and "comment" not in value)
+                    around = around or int(_beside(value) and not (tag in ("article", "main") and "comment" not in value))
                     if any(p in HEADER for p in parts) and tag == "div":
                         names.append("header")
                     joined = {_SPLIT.sub("", v) for v in value.split()}
@@ -85,8 +97,8 @@ def _looks(tag: str, token: str) -> tuple[str, bool, int]:
             elif name == "itemprop" and value == "articlebody":
                 main = 2
             elif name == "hidden" or (name, value) == ("aria-hidden", "true") or name == "style" and re.search(r"display\s*:\s*none", value):
-                around = True
-        known = re.sub(r"\d+", "0", ".".join([tag, *names])), around, 0 if around else main
+                around = 2
+        known = "~" * (around == 1) + re.sub(r"\d+", "0", ".".join([tag, *names])), around, 0 if around else main
         if len(_known) < 50_000:
             _known[token] = known
     return known
@@ -143,7 +155,7 @@ def parse(page: str) -> Node:
 
 
 # A wrapper item is [key, quantifier, pages, items, text, chars, repeats]: of an element its items and the keys that one element has twice or more;
-# of a text slot ("#") the text as by _same, null if it differs, and its characters over all pages.
+# keys of elements that are around by their names begin with "~"; of a text slot ("#") the text as by _same, null if it differs, and its characters over all pages.
 # The root has one more: the smallest digests of the texts of up to TEMPLATE_PAGES pages that differ.
 
 
@@ -166,7 +178,7 @@ def _item(node: Node) -> list:
         if isinstance(c, str):
             if not c.isspace():
                 items.append(["#", "1", 1, [], _same(c), len(c), []])
-        elif not c.around:
+        elif c.around < 2:
             items.append(_item(c))
         else:
             items.append([c.key, "1", 1, [], None, 0, []])
@@ -281,8 +293,10 @@ def _shared(wrapper: list | None) -> set[tuple[int, str]]:
     return {x for x, n in pages.items() if n >= wrapper[2]}
 
 
-def _chars(item: list, above: int, shared: set[tuple[int, str]]) -> tuple[int, int]:
-    """Characters of the texts below an item: of slots, and of texts that all pages share."""
+def _chars(item: list, above: int, shared: set[tuple[int, str]], beside: bool = False) -> tuple[int, int]:
+    """Characters of the texts below an item: of slots, and of texts that all pages share; none around the article, but for the item itself with ``beside``."""
+    if item[0][0] == "~" and not beside:
+        return 0, 0
     if item[0] == "#":
         return (0, item[5]) if (above, item[4]) in shared else (item[5], 0)
     place = above if item[0][0] == "(" else hash((above, item[0]))
@@ -295,41 +309,47 @@ def content_path(wrapper: list | None) -> list[str]:
     return _region(wrapper, _shared(wrapper))[0]
 
 
-def _region(wrapper: list | None, shared: set[tuple[int, str]]) -> tuple[list[str], int, int]:
-    """The content path, and the characters of slots and of shared texts in the part it leads to."""
+def _region(wrapper: list | None, shared: set[tuple[int, str]]) -> tuple[list[str], int, int, int | None]:
+    """The content path, the characters of slots and of shared texts in the part it leads to, and the place of what isn't around there, whatever its name, for holding most of the slots' text."""
     path: list[str] = []
     at, above = [wrapper] if wrapper else [], 0
     total, constant = _chars(wrapper, 0, shared) if wrapper else (0, 0)
-    while total:
+    while at:
         above = hash((above, at[0][0]))
         below: dict[str, list] = {}
         for key, xs in ((k, xs) for x in at for k, xs in _flat(x[3]).items() if k != "#"):
             below.setdefault(key, []).extend(xs)
-        chars = {k: tuple(map(sum, zip(*(_chars(x, above, shared) for x in xs), strict=True))) for k, xs in below.items()}
+        chars = {k: tuple(map(sum, zip(*(_chars(x, above, shared, True) for x in xs), strict=True))) for k, xs in below.items()}
+        beside = max((k for k in chars if k[0] == "~"), key=lambda k: (chars[k], k), default=None)
+        if beside and chars[beside][0] >= 4 * max(total, 1):
+            return path, total + chars[beside][0], constant + chars[beside][1], hash((above, beside))
+        chars = {k: n for k, n in chars.items() if k[0] != "~"}
         best = max(chars, key=lambda k: (chars[k], k), default=None)
         # a repeated item is one of many paragraphs, not the region itself
-        if best is None or any(best in x[6] for x in at) or chars[best][0] < 0.8 * total or best.split(".")[0] in ("p", "span", "pre", "blockquote"):
+        if best is None or not total or any(best in x[6] for x in at) or chars[best][0] < 0.8 * total or best.split(".")[0] in ("p", "span", "pre", "blockquote"):
             break
         path.append(best)
         at, (total, constant) = below[best], chars[best]
-    return path, total, constant
+    return path, total, constant, None
 
 
-def _regions(node: Node, level: int, out: list[Node]) -> None:
+def _regions(node: Node, level: int, out: list[Node], named: bool = False) -> None:
+    """Parts of a level or more; with ``named`` inside elements too that only their names call other than the article."""
     for c in node.children:
-        if isinstance(c, Node) and not c.around and c.tag != "header":
+        if isinstance(c, Node) and (not c.around or named and c.around == 1) and c.tag != "header":
             if c.main >= level:
                 out.append(c)
             else:
-                _regions(c, level, out)
+                _regions(c, level, out, named)
 
 
 def _marked(node: Node) -> tuple[int, list[Node]]:
     """The parts below a node that tags, roles and names mark as the article: article, then main, then names like ``content``."""
-    for level in (3, 2, 1):
+    for level, named in ((3, False), (2, False), (3, True), (2, True), (1, False)):
         found: list[Node] = []
-        _regions(node, level, found)
-        if found:
+        _regions(node, level, found, named)
+        # what lies in elements named otherwise has to be more than what lies outside
+        if found and (not named or len(_text(found, set())) > len(_text([node], set()))):
             return level, found
     return 0, []
 
@@ -395,12 +415,20 @@ class Reading:
 
     def __init__(self, wrapper: list | None):
         shared = _shared(wrapper)
-        self.path, slots, constant = _region(wrapper, shared)
+        self.path, slots, constant, self.opened = _region(wrapper, shared)
         self.enough = bool(wrapper) and wrapper[2] >= TEMPLATE_PAGES
         # copies of a page share all of it, near copies most, which tells nothing of a template
         self.shared = shared if self.enough and len(wrapper[7]) >= TEMPLATE_PAGES and constant < slots else set()
 
 
+def _open(node: Node, place: int) -> None:
+    for c in node.children:
+        if isinstance(c, Node):
+            if c.place == place:
+                c.around = 0
+            _open(c, place)
+
+
 def extract(page: str, wrapper: list | Reading | None = None) -> str:
     """The main text of a page: its blocks, white space collapsed, joined by line breaks.
 
@@ -414,6 +442,8 @@ def extract(page: str, wrapper: list | Reading | None = None) -> str:
     """
     root = parse(page)
     r = wrapper if isinstance(wrapper, Reading) else Reading(wrapper)
+    if r.opened:
+        _open(root, r.opened)
     way = [root]
     for key in r.path:
         down = next((c for c in way[-1].children if isinstance(c, Node) and c.key == key), None)

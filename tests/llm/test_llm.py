@@ -240,6 +240,17 @@ def test_the_region_does_not_depend_on_the_number_of_pages():
     assert len(whole[3][0][3]) > 192
 
 
+def test_names_do_not_hide_the_article():
+    x = html_wrappers.extract
+    assert x("<div class='entry-content no-sidebar'><p>a</p></div><p>b</p>") == "a"
+    assert x("<div class='layout has-sidebar'><article>a</article><div class=sidebar>s</div></div>") == "a"
+    assert x("<div class='sidebar-layout'><article>the text</article></div><p>b</p>") == "the text"
+    assert x("<p>the text</p><div class=related><article>b</article></div>") == "the text"
+    assert x("<article><p>a <math><mi>x</mi></math> b</p><object>c</object><noscript>d</noscript><div hidden>e</div></article>") == "a x b\ncd"
+    pages = [f"<body><div class=social><p>{f'long {i} ' * 9}</p></div><p>{i}</p><nav>n</nav></body>" for i in range(5)]
+    assert x(pages[2], wrapper_of(pages)) == " ".join(["long 2"] * 9) + "\n2"
+
+
 def test_pages_against_a_plain_reading(spark):
     import html
 
