@@ -109,8 +109,8 @@ def _plan(items, window: int):
     return vocabulary, terms, (terms >= 0).sum(axis=1), [sorted(o) for o in owners.values()]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text, then any others) with n_words, hits (start and end word, flat) and item_ids.
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, then the flat columns of ``carry``) with n_words, hits (start and end word, flat) and item_ids.
 
     A window is ``window`` consecutive words of a test item, or all words of a
     shorter one; hits are the document's words inside any occurrence of a window.
@@ -118,8 +118,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     without words take no part; repeated rows each get their own result.
     """
     keep = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
-    out = docs.select(*keep, F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("hits"), F.array().cast("array<long>").alias("item_ids"))
-    ddl = "doc_id long, text string, n_words long, hits array<int>, item_ids array<long>"
+    out = docs.select(*keep, *carry, F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("hits"), F.array().cast("array<long>").alias("item_ids"))
+    kinds = "".join(f"{c} {t.replace('bigint', 'long')}, " for c, t in docs.select(*carry).dtypes)
+    ddl = f"doc_id long, text string, {kinds}n_words long, hits array<int>, item_ids array<long>"
     spark = docs.sparkSession
     for items in _blocks(benchmark):
         plan = spark.sparkContext.broadcast(_plan(items, window))
@@ -127,7 +128,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
         def run(batches, plan=plan):
             vocabulary, terms, size, owners = plan.value
             schema = arrow_schema(ddl)
-            for texts, ids, hits, found in slices(batches, "text", "doc_id", "hits", "item_ids"):
+            for texts, ids, hits, found, *rest in slices(batches, "text", "doc_id", "hits", "item_ids", *carry):
                 documents = [words(t) for t in texts]
                 index = ShardIndex(documents, vocabulary)
                 phrase, start = index.phrases(terms, size) if len(terms) else (np.empty(0, np.int64),) * 2
@@ -139,7 +140,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
                     at = start[mine] - index.begins[d]
                     hits[d] = _merge(hits[d], at, at + size[phrase[mine]])
                     found[d] = sorted({*found[d], *(i for p in phrase[mine].tolist() for i in owners[p])})
-                yield batch(schema, ids, [None if t is None else t.decode() for t in texts], [len(d) for d in documents], hits, found)
+                yield batch(schema, ids, [None if t is None else t.decode() for t in texts], *rest, [len(d) for d in documents], hits, found)
 
         out = out.mapInArrow(run, ddl)
     return out

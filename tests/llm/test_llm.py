@@ -347,6 +347,17 @@ def test_near_duplicates(spark, tile, monkeypatch):
     assert got == {i: (len(s), group[i], group[i] == i) for i, s in sets.items()}
 
 
+def test_decontamination_drops_rows_not_ids(spark, tmp_path):
+    import corpus_pipeline as P
+
+    window = "a b c d e f g h i j"
+    spark.createDataFrame([(1, window)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    d = docs(spark, [(None, f"x {window} y"), (None, "clean"), (1, window), (1, "clean too", "t"), (2, None), (3, "a b c")])
+    got = P.decontamination(spark, d, str(tmp_path))
+    assert got.columns == P.COLUMNS and got.schema == d.select(*P.COLUMNS).schema
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(None, "clean", "en", "s", 5), (1, "clean too", "en", "t", 9), (2, None, "en", "s", 0), (3, "a b c", "en", "s", 5)], key=str)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as P
 
