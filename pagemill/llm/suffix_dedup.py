@@ -1,4 +1,4 @@
-"""Suffix-array dedup: longest-previous-factor arrays over the repeated parts of a corpus.
+"""Suffix dedup: whether the longest previous factor has a fixed length or more, over the repeated parts of a corpus.
 
 A suffix whose longest previous factor has ``length`` bytes or more starts a
 passage that was seen before. One suffix array of a whole corpus can't be dealt
@@ -8,8 +8,9 @@ length with the smallest hash. Equal windows have equal anchors at equal
 offsets, so all matches of a suffix lie in the group of its anchor, and anchors
 that occur once need no further look. Neighbouring windows with one anchor
 travel as one span; equal spans are one class; the distinct spans of an anchor
-are sorted as suffixes, and previous and next smaller positions within a run of
-equal prefixes tell the earlier matches.
+are sorted as suffixes by their first ``length`` bytes, and all of a run of equal
+prefixes but the first have an earlier match. No LPF array is built on this path;
+``longest_previous_factor`` is called by its test alone.
 
 An anchor with very many distinct spans (a passage that a large part of the
 documents quote) is dealt out over several tasks, which exchange their distinct
