@@ -1,31 +1,89 @@
-"""Splitting pages into chunks and joining chunks into blocks: folds over arrays, all Catalyst expressions."""
+"""Splitting pages into chunks and joining chunks into blocks.
+
+Greedy packing is one pass over a text that remembers only the open piece. As a
+fold over an array in Catalyst it is interpreted and copies the closed pieces at
+each step; here it is an Arrow function, linear in the text. The splits that need
+no memory (paragraphs, sentences, lines) are Catalyst expressions.
+"""
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import SENTENCE_END, WS, is_blank, py_strip
+from ..functions.text import SENTENCE_END, WS, WS_SET, is_blank, py_strip
 
 MAX_CHARS = 400
-_STATE = "struct<done:array<string>,cur:string>"
+_SPACE = f"[{re.escape(WS_SET)}]"
+_PARAGRAPH = re.compile(rf"\n{_SPACE}*\n")
+_SENTENCE = re.compile(f"(?<={SENTENCE_END}){_SPACE}+")
+
+
+def _lists(value: Column, split) -> Column:
+    """The column of ``split``'s lists, batch by batch; null for null."""
+
+    @F.arrow_udf("array<string>")
+    def run(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else split(v) for v in values.to_pylist()], pa.list_(pa.string()))
+
+    return run(value)
 
 
-def _state(done: Column, cur: Column) -> Column:
-    return F.struct(done.alias("done"), cur.alias("cur")).cast(_STATE)
+def pack(parts: list[str], most: int, joined) -> list[str]:
+    """Parts joined greedily while they have at most ``most`` characters; a longer part is a piece of its own."""
+    out, cur = [], ""
+    for part in parts:
+        both = joined(cur, part) if cur else part
+        if cur and len(both) > most:
+            out.append(cur)
+            both = part
+        cur = both
+    return [*out, cur] if cur else out
+
+
+def _spaced(a: str, b: str) -> str:
+    return f"{a} {b}".strip()
+
+
+def _words(text: str, most: int, lossless: bool) -> list[str]:
+    words = text.split(" ")
+    if lossless:
+        words = [w[i : i + most] for w in words for i in range(0, max(1, len(w)), most)]
+    return [piece[:most] for piece in pack(words, most, _spaced)] or [text[:most]]
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once: lambdas repeat what they are given."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def _packed(paragraph: str, most: int) -> list[str]:
+    if len(paragraph) <= most:
+        return [paragraph]
+    out, short = [], []
+    for sentence in filter(None, map(str.strip, _SENTENCE.split(paragraph))):
+        if len(sentence) <= most:
+            short.append(sentence)
+            continue
+        out += [*pack(short, most, _spaced), *_words(sentence, most, False)]
+        short = []
+    return out + pack(short, most, _spaced)
 
 
-def _empty() -> Column:
-    return _state(F.array().cast("array<string>"), F.lit(""))
+def _chunked(text: str, most: int) -> list[str]:
+    return [piece for p in map(str.strip, _PARAGRAPH.split(text)) if p for piece in _packed(p, most)]
 
 
-def _close(s: Column) -> Column:
-    return F.when(s["cur"] != "", F.array_append(s["done"], s["cur"])).otherwise(s["done"])
+def _requests(text: str, most: int) -> list[str]:
+    out, at = [], 0
+    while at < len(text):
+        stop = len(text)
+        if stop - at > most:
+            stop = text.rfind(" ", at, at + most)
+            stop = stop if stop > at else at + most
+        out.append(text[at:stop])
+        at = stop
+        while at < len(text) and text[at].isspace():
+            at += 1
+    return out
 
 
 def paragraphs(text: Column) -> Column:
@@ -39,42 +97,22 @@ def sentences(paragraph: Column) -> Column:
 
 
 def hard_split(text: Column, most: int = MAX_CHARS, lossless: bool = False) -> Column:
-    """Greedy pieces of at most ``most`` characters, cut at spaces.
+    """Greedy pieces of at most ``most`` characters, cut at spaces; null for null.
 
     A longer word is truncated, as in the behaviour matched here, or with
     ``lossless`` cut into several pieces.
     """
-    words = F.split(text, " ")
-    if lossless:
-        words = F.flatten(F.transform(words, lambda w: F.when(F.length(w) <= most, F.array(w)).otherwise(F.regexp_extract_all(w, F.lit(f"(?s).{{1,{most}}}"), F.lit(0)))))
-
-    def step(s, w):
-        joined = F.when(s["cur"] == "", w).otherwise(py_strip(F.concat(s["cur"], F.lit(" "), w)))
-        close = _state(F.array_append(s["done"], s["cur"]), w)
-        return _let(joined, lambda j: F.when((F.length(j) > most) & (s["cur"] != ""), close).otherwise(_state(s["done"], j)))
-
-    pieces = F.transform(F.aggregate(words, _empty(), step, _close), lambda c: F.substring(c, 1, most))
-    return F.when(F.size(pieces) > 0, pieces).otherwise(F.array(F.substring(text, 1, most)))
+    return _lists(text, lambda t: _words(t, most, lossless))
 
 
 def chunk_paragraph(paragraph: Column, most: int = MAX_CHARS) -> Column:
-    """Sentences packed greedily; a short paragraph stays as it is, a long sentence is cut at spaces."""
-
-    def add(s, sentence):
-        joined = F.when(s["cur"] == "", sentence).otherwise(py_strip(F.concat(s["cur"], F.lit(" "), sentence)))
-        return _let(joined, lambda j: F.when(F.length(j) > most, _state(_close(s), sentence)).otherwise(_state(s["done"], j)))
-
-    def step(s, sentence):
-        long = _state(F.concat(_close(s), hard_split(sentence, most)), F.lit(""))
-        return F.when(sentence == "", s).when(F.length(sentence) > most, long).otherwise(add(s, sentence))
-
-    parts = F.transform(sentences(paragraph), py_strip)
-    return F.when(F.length(paragraph) <= most, F.array(paragraph)).otherwise(F.aggregate(parts, _empty(), step, _close))
+    """Sentences packed greedily; a short paragraph stays as it is, a long sentence is cut at spaces; null for null."""
+    return _lists(paragraph, lambda t: _packed(t, most))
 
 
 def chunks(text: Column, most: int = MAX_CHARS) -> Column:
-    """A page's chunks, in order; blank pages have none."""
-    return F.when(is_blank(text), F.array().cast("array<string>")).otherwise(F.flatten(F.transform(paragraphs(text), lambda p: chunk_paragraph(p, most))))
+    """A page's chunks, in order; null and blank pages have none."""
+    return _lists(F.coalesce(text, F.lit("")), lambda t: _chunked(t, most))
 
 
 def chunked(df: DataFrame, key: str = "doc_id", text: str = "text", most: int = MAX_CHARS) -> DataFrame:
@@ -83,31 +121,18 @@ def chunked(df: DataFrame, key: str = "doc_id", text: str = "text", most: int =
 
 
 def blocks(parts: Column, most: int) -> Column:
-    """Chunks joined by line breaks while they fit; blank chunks are left out, none is split."""
-
-    def step(s, c):
-        joined = F.when(s["cur"] == "", c).otherwise(F.concat(s["cur"], F.lit("\n"), c))
-        close = _state(F.array_append(s["done"], s["cur"]), c)
-        return _let(joined, lambda j: F.when((s["cur"] != "") & (F.length(j) > most), close).otherwise(_state(s["done"], j)))
-
-    return F.aggregate(F.filter(parts, lambda c: ~is_blank(c)), _empty(), step, _close)
+    """Chunks joined by line breaks while they fit; blank and null chunks are left out, none is split."""
+    return _lists(parts, lambda p: pack([c for c in p if c and c.strip()], most, lambda a, b: f"{a}\n{b}"))
 
 
 def request_parts(text: Column, most: int = 4800) -> Column:
     """Pieces of an oversize request: cut at the last space within ``most`` characters, else there; the rest is stripped on the left."""
-    # each step takes one piece; a piece and its space are at least two characters, so the sequence is long enough
-    def step(s, _):
-        head = F.substring(s["cur"], 1, most)
-        space = F.length(head) - F.coalesce(F.nullif(F.locate(" ", F.reverse(head)), F.lit(0)), F.lit(most + 1))
-        cut = F.when(space <= 0, most).otherwise(space)
-        piece = F.when(F.length(s["cur"]) <= most, s["cur"]).otherwise(F.substring(s["cur"], F.lit(1), cut))
-        rest = F.when(F.length(s["cur"]) <= most, F.lit("")).otherwise(F.regexp_replace(F.substring(s["cur"], cut + 1, F.length(s["cur"])), f"^{WS}+", ""))
-        return F.when(s["cur"] == "", s).otherwise(_state(F.array_append(s["done"], piece), rest))
+    return _lists(text, lambda t: _requests(t, most))
+
 
-    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text)))
-    few = F.slice(steps, F.lit(1), F.greatest(F.lit(1), (F.length(text) / 2 + 1).cast("int")))
-    enough = F.when(F.length(text) <= most, F.array(F.lit(1))).otherwise(few)
-    return F.aggregate(enough, _state(F.array().cast("array<string>"), text), step, lambda s: s["done"])
+def requested(text: Column, translate, most: int = 4800) -> Column:
+    """An oversize text translated piece by piece; the pieces' translations are joined with a space."""
+    return F.array_join(F.transform(request_parts(text, most), translate), " ")
 
 
 def page_paragraphs(text: Column, placeholder: str = "[No extractable text on this page]") -> Column:
@@ -119,3 +144,8 @@ def page_paragraphs(text: Column, placeholder: str = "[No extractable text on th
 def in_order(value: str, *order: str) -> Column:
     """Aggregate: the values of a group as an array, in an explicit order."""
     return F.transform(F.array_sort(F.collect_list(F.struct(*order, value))), lambda x: x[value])
+
+
+def reassembled(pages: DataFrame, key: str, page: str, seq: str, text: str, sep: str) -> DataFrame:
+    """(key, text): stored pages of each key joined in the order of page, then of ``seq`` for pages that were written again."""
+    return pages.groupBy(key).agg(F.array_join(in_order(text, page, seq), sep).alias(text))

@@ -109,7 +109,7 @@ def xml_escape(spark, d):
     return table(spark, d, "documents").select("doc_id", X.xml_escape(F.col("text")).alias("escaped"))
 
 
-@query(rf"""
+_REQUESTS = rf"""
 WITH RECURSIVE p AS (
   SELECT doc_id, 0 AS idx, ''::VARCHAR AS piece, text AS rest FROM documents
   UNION ALL
@@ -119,20 +119,33 @@ WITH RECURSIVE p AS (
     SELECT *, CASE WHEN strpos(reverse(rest[1:4800]), ' ') = 0 THEN 0 ELSE length(rest[1:4800]) - strpos(reverse(rest[1:4800]), ' ') END AS sp FROM p))
   WHERE rest <> '')
 SELECT doc_id, (idx - 1)::BIGINT AS idx, piece FROM p WHERE idx > 0
-""")
+"""
+
+
+@query(_REQUESTS)
 def request_split(spark, d):
     return _exploded(table(spark, d, "documents").where("text <> ''"), C.request_parts(F.col("text")), "piece")
 
 
+@query(f"SELECT doc_id, string_agg({ROT13.format('piece')}, ' ' ORDER BY idx) AS translation FROM ({_REQUESTS}) GROUP BY doc_id")
+def request_translate(spark, d):
+    """An oversize request goes out in pieces, whose answers are joined with a space."""
+    t = table(spark, d, "documents").where("text <> ''")
+    return t.select("doc_id", C.requested(F.col("text"), X.rot13).alias("translation"))
+
+
 @query(f"SELECT doc_id, string_agg(chunk, chr(10) ORDER BY chunk_idx) AS page FROM ({_CHUNKS}) GROUP BY doc_id")
 def reassemble_pages(spark, d):
-    return chunk_rows(spark, d).groupBy("doc_id").agg(F.array_join(C.in_order("chunk", "chunk_idx"), "\n").alias("page"))
+    """A page's chunks are joined where they were made; pages that are stored in parts go through C.reassembled."""
+    t = table(spark, d, "documents").where(~X.is_blank(F.col("text")))
+    return t.select("doc_id", F.array_join(C.chunks(F.col("text")), "\n").alias("page"))
 
 
 @query(f"SELECT doc_id, string_agg('--- Page ' || (page_num + 1) || ' ---' || chr(10) || text, chr(10) || chr(12) || chr(10) ORDER BY page_num) AS txt FROM ({_LINES}) GROUP BY doc_id")
 def assemble_txt(spark, d):
-    head = F.concat(F.lit("--- Page "), (F.col("page_num") + 1).cast("string"), F.lit(" ---\n"), F.col("text"))
-    return pages(spark, d).withColumn("part", head).groupBy("doc_id").agg(F.array_join(C.in_order("part", "page_num"), "\n\f\n").alias("txt"))
+    part = lambda line, i: F.concat(F.lit("--- Page "), (i + 1).cast("string"), F.lit(" ---\n"), line)
+    t = table(spark, d, "documents").where("text is not null")
+    return t.select("doc_id", F.array_join(F.transform(F.split("text", "\n"), part), "\n\f\n").alias("txt"))
 
 
 @query(f"SELECT doc_id, page_num, CASE WHEN {strip('text')} = '' OR doc_id % 3 = 0 THEN text ELSE {ROT13.format('text')} END AS translation FROM ({_LINES})")
@@ -195,8 +208,11 @@ def refine_blocks(spark, d):
 
 @query(f"SELECT doc_id, count(*) FILTER (reason IS NULL)::BIGINT AS refined, count(*) FILTER (reason IS NOT NULL)::BIGINT AS fallback, count(*)::BIGINT AS total FROM ({_REFINED}) GROUP BY doc_id")
 def refine_summary(spark, d):
-    r = F.col("reason")
-    return _refined(spark, d).groupBy("doc_id").agg(F.count_if(r.isNull()).alias("refined"), F.count_if(r.isNotNull()).alias("fallback"), F.count("*").alias("total"))
+    """Counted within each page's array of chunks: nothing is shuffled."""
+    t = table(spark, d, "documents").where(~X.is_blank(F.col("text"))).select("doc_id", C.chunks(F.col("text")).alias("c"))
+    good = F.filter(F.transform("c", lambda c, i: R.refusal(c, R.variants(c, i), LATIN)), lambda r: r.isNull())
+    t = t.select("doc_id", F.size(good).cast("long").alias("refined"), F.size("c").cast("long").alias("total"))
+    return t.select("doc_id", "refined", (F.col("total") - F.col("refined")).alias("fallback"), "total")
 
 
 _ANSWERS = [
