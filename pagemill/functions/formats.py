@@ -11,6 +11,13 @@ LANGUAGES = {"en": "English", "bn": "Bengali"}
 TERMINAL = ("COMPLETED", "FAILED", "CANCELLED")
 ACTIVE = ("QUEUED", "RUNNING", "PAUSED")
 BACKENDS = {"argos": (400, 2), "google": (3000, 2)}
+OCR_LANGUAGES = {"en": "en", "bn": "bn"}
+RATE_LIMITED = "429|too many requests|rate limit|quota"
+# Least, most and step of each tunable; without a step any value between is good.
+TUNING = {
+    "chunk_max_chars": (100, 800, 50), "translation_workers": (1, 6, 1), "max_file_size_mb": (10, 5000, None), "refine_block_chars": (400, 3000, 100), "refine_timeout": (15, 600, None),
+    "ocr_dpi": (100, 300, 25), "online_chunk_max_chars": (500, 4500, 250), "online_translation_workers": (1, 4, 1),
+}
 
 
 def lookup(values: dict[str, str], key: Column, default: Column) -> Column:
@@ -37,8 +44,23 @@ def duration(seconds: Column) -> Column:
     )
 
 
+def round_one(x: Column) -> Column:
+    """A number of zero or more to one decimal, by its exact binary value, ties to even.
+
+    What is left of the midpoint is subtracted without an error: 16 and 4 times a
+    double are exact, and so are differences of numbers that near to each other.
+    """
+    x = x.cast("double")
+    n = F.floor(x * 10)
+    middle = (n + 0.5) / 10.0
+    # the sign of (middle as a double) - (middle), for values that equal the double
+    rest = (middle * 16.0 - (2 * n + 1)) + middle * 4.0
+    up = (x > middle) | ((x == middle) & ((rest > 0) | ((rest == 0) & (n % 2 == 1))))
+    return F.when(up, n + 1).otherwise(n) / 10.0
+
+
 def percent(current: Column, total: Column) -> Column:
-    return F.when(total <= 0, F.lit(0.0)).otherwise(F.least(F.lit(100.0), F.round(current / total * 100, 1)))
+    return F.when(total <= 0, F.lit(0.0)).otherwise(F.least(F.lit(100.0), round_one(current / total * 100)))
 
 
 def status_label(status: Column) -> Column:
@@ -75,4 +97,24 @@ def backoff(attempts: int, limited: Column, base: float = 2.0) -> Column:
 
 
 def rate_limited(message: Column) -> Column:
-    return F.lower(message).rlike("429|too many requests|rate limit|quota")
+    return F.lower(message).rlike(RATE_LIMITED)
+
+
+def ocr_language(code: Column) -> Column:
+    """The OCR engine's name of a language; English for those that it doesn't know."""
+    return lookup(OCR_LANGUAGES, code, F.lit("en"))
+
+
+def in_range(name: Column, value: Column) -> Column:
+    """Whether a tunable's value is one that can be set; null for a name that isn't tunable."""
+    out = F.when(F.lit(False), F.lit(False))
+    for key, (least, most, step) in TUNING.items():
+        good = value.between(least, most)
+        out = out.when(name == key, F.coalesce(good & ((value - least) % step == 0) if step else good, F.lit(False)))
+    return out
+
+
+def may_start(files: Column, formats: Column, source: Column, target: Column) -> Column:
+    """A job can start with files, output formats and two different languages."""
+    some = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
+    return some(files) & some(formats) & ~source.eqNullSafe(target)

@@ -149,3 +149,20 @@ def in_order(value: str, *order: str) -> Column:
 def reassembled(pages: DataFrame, key: str, page: str, seq: str, text: str, sep: str) -> DataFrame:
     """(key, text): stored pages of each key joined in the order of page, then of ``seq`` for pages that were written again."""
     return pages.groupBy(key).agg(F.array_join(in_order(text, page, seq), sep).alias(text))
+
+
+def document_rows(pages: DataFrame, key: str, title: Column) -> DataFrame:
+    """(key, page_num, seq, kind, text): what a built document holds, in the order of page_num and seq.
+
+    ``pages``: key, page_num from 0, text; one row a page. A title (page_num -1),
+    then of each page a break (but before the first), its label, its non-blank
+    lines or a placeholder. Null texts are blank pages.
+    """
+    item = lambda seq, kind, text: F.struct(F.lit(seq).cast("long").alias("seq"), F.lit(kind).alias("kind"), text.alias("text"))
+    label = F.concat(F.lit("Page "), (F.col("page_num") + 1).cast("string"))
+    lines = F.transform(page_paragraphs(F.col("text")), lambda x, i: F.struct((i + 2).cast("long").alias("seq"), F.lit("paragraph").alias("kind"), x.alias("text")))
+    first = pages.groupBy(key).agg(F.min("page_num").alias("first"))
+    heads = first.select(key, F.lit(-1).cast("long").alias("page_num"), item(0, "title", title).alias("r"))
+    breaks = pages.select(key, "page_num").join(first, key).where("page_num > first").select(key, "page_num", item(0, "break", F.lit("")).alias("r"))
+    own = pages.select(key, "page_num", F.explode(F.concat(F.array(item(1, "label", label)), lines)).alias("r"))
+    return heads.unionByName(breaks).unionByName(own).select(key, "page_num", "r.seq", "r.kind", "r.text")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import WS, is_blank, py_strip, rot13, script_density
 
+# An answer's length over its source's, at least and at most; the part of the source's script
+# density that it must keep; the density from which on a text counts as written in the script.
 LEAST_RATIO, MOST_RATIO, KEPT_DENSITY, SURE_DENSITY = 0.45, 2.50, 0.50, 0.30
 # Fixed pattern: lines that small models put before an answer.
 PREAMBLE = rf"(?i)^{WS}*(sure|okay|ok|certainly|here('s| is)|below is|corrected|revised|output|result|polished|edited|final)\b[^\n]{{0,120}}:{WS}*$"
@@ -20,10 +22,11 @@ BACKENDS: dict[str, Callable[[Column], Column]] = {"rot13": rot13}
 def translated(df: DataFrame, text: str, source: str, target: str, backend: str = "rot13") -> DataFrame:
     """Adds ``translation``; blank texts and equal languages pass unchanged and never reach the backend.
 
-    The two parts are filtered and united, since ``when`` doesn't keep rows from a Python function.
+    Backends here are column expressions, so one pass over the rows does; see
+    backends.translated for Python ones.
     """
     skip = is_blank(F.col(text)) | F.col(source).eqNullSafe(F.col(target))
-    return df.where(skip).withColumn("translation", F.col(text)).unionByName(df.where(~skip).withColumn("translation", BACKENDS[backend](F.col(text))))
+    return df.withColumn("translation", F.when(skip, F.col(text)).otherwise(BACKENDS[backend](F.col(text))))
 
 
 def with_python_backend(df: DataFrame, text: str, translate: Callable[[str], str]) -> DataFrame:

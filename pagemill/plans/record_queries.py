@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import formats
+from ..functions.text import py_strip
 from ..operators import jobs as J
 from ..operators.chunking import in_order
 from ..sources import records
@@ -54,6 +55,32 @@ def history_upsert(spark, d):
     return J.upsert(h, new)
 
 
+@query(f"SELECT job_id, CASE job_id % 10 WHEN 0 THEN 'CANCELLED' WHEN 5 THEN 'COMPLETED' ELSE status END AS status, filename FROM ({_HISTORY})")
+def history_rewrite(spark, d):
+    """Jobs that are recorded again, some of them twice: the last record wins."""
+    h = history(spark, d).select("job_id", "status", "filename")
+    first = h.where("job_id % 5 = 0").withColumns({"status": F.lit("CANCELLED"), "seq": F.lit(0)})
+    second = h.where("job_id % 10 = 5").withColumns({"status": F.lit("COMPLETED"), "seq": F.lit(1)})
+    return J.upsert(h, second.union(first), "job_id", "seq")
+
+
+@query(f"SELECT job_id, status FROM ({_HISTORY}) WHERE FALSE")
+def history_clear(spark, d):
+    return J.cleared(history(spark, d).select("job_id", "status"))
+
+
+@query("SELECT o_custkey AS owner, o_orderkey AS job_id, 'order-' || o_custkey || '.pdf' AS filename FROM orders WHERE o_custkey % 7 <> 3")
+def history_json(spark, d):
+    """Each owner's history as one JSON array, read back; a torn file is an empty history."""
+    schema = "job_id bigint, filename string"
+    h = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("owner")).agg(
+        F.collect_list(F.struct(F.col("o_orderkey").alias("job_id"), F.concat(F.lit("order-"), F.col("o_custkey").cast("string"), F.lit(".pdf")).alias("filename"))).alias("entries")
+    )
+    whole = F.to_json("entries")
+    files = h.select("owner", F.when(F.col("owner") % 7 == 3, F.substring(whole, F.lit(1), F.length(whole) - 2)).otherwise(whole).alias("file"))
+    return files.select("owner", F.explode(records.parse_array("file", schema)).alias("r")).select("owner", "r.*")
+
+
 @query(f"SELECT job_id, filename FROM ({_HISTORY}) WHERE job_id NOT IN (1, 2, 3)")
 def history_delete(spark, d):
     return history(spark, d).where(~F.col("job_id").isin(1, 2, 3)).select("job_id", "filename")
@@ -64,6 +91,20 @@ def history_search(spark, d):
     return J.search(table(spark, d, "customer").select("c_custkey", "c_name"), "c_name", "  00001 ")
 
 
+@query("SELECT conv_id AS job_id, turn AS page FROM conversations WHERE conv_id % 4 <> 0")
+def checkpoint_delete(spark, d):
+    """The page logs that are left once finished jobs' checkpoints are deleted."""
+    log = table(spark, d, "conversations").select(F.col("conv_id").alias("job_id"), F.col("turn").alias("page"))
+    return J.forget(log, checkpoints(spark, d).where("status = 'COMPLETED'"))
+
+
+@query("SELECT * FROM (VALUES ('a1'), ('b-2')) AS t(job_id)")
+def resumable_jobs(spark, d):
+    """Folders that hold a checkpoint."""
+    files = values(spark, "('/ck/a1/checkpoint.json'), ('/ck/a1/pages.jsonl'), ('/ck/b-2/checkpoint.json'), ('/ck/c/pages.jsonl'), ('/ck/d/old-checkpoint.json') AS t(path)")
+    return files.select(records.checkpoint_job(F.col("path")).alias("job_id")).where("job_id is not null").distinct()
+
+
 _PAGES = "SELECT conv_id AS job_id, turn AS page, text, 0::BIGINT AS seq FROM conversations UNION ALL SELECT conv_id, turn, 'again ' || text, 1 FROM conversations WHERE turn % 3 = 0"
 
 
@@ -153,13 +194,25 @@ def progress(spark, d) -> DataFrame:
     )
 
 
-@query(f"""SELECT job_id, page, CASE WHEN 60 - page <= 0 THEN 0.0 ELSE floor((sum(round(seconds * 1000000)::BIGINT) OVER w)::DOUBLE / count(seconds) OVER w / 1000000.0::DOUBLE * (60 - page) * 10 + 0.5::DOUBLE) / 10::DOUBLE END AS eta_seconds,
-  least(100.0, round(page / 60.0 * 100, 1))::DOUBLE AS percent FROM ({_EVENTS}) WINDOW w AS (PARTITION BY job_id ORDER BY page ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)""")
+_MEAN = "(sum(round(seconds * 1000000)::BIGINT) OVER w)::DOUBLE / count(seconds) OVER w / 1000000.0::DOUBLE"
+_PERCENT = "least(100.0::DOUBLE, format('{:.1f}', page / 60::DOUBLE * 100)::DOUBLE)"
+
+
+@query(f"""SELECT job_id, page, CASE WHEN page >= 60 THEN 0.0::DOUBLE ELSE format('{{:.1f}}', {_MEAN} * (60 - page))::DOUBLE END AS eta_seconds, {_PERCENT} AS percent
+FROM ({_EVENTS}) WINDOW w AS (PARTITION BY job_id ORDER BY page ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)""")
 def progress_eta(spark, d):
     e = J.eta(progress(spark, d), ["job_id"], "page", "seconds", F.lit(60))
     return e.select("job_id", "page", "eta_seconds", formats.percent(F.col("page"), F.lit(60)).alias("percent"))
 
 
+@query(f"""SELECT job_id, page // 25 AS run, page, CASE WHEN page >= 60 THEN 0.0::DOUBLE ELSE format('{{:.1f}}', {_MEAN} * (60 - page))::DOUBLE END AS eta_seconds
+FROM ({_EVENTS}) WINDOW w AS (PARTITION BY job_id, page // 25 ORDER BY page ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)""")
+def progress_eta_resumed(spark, d):
+    """Jobs that were resumed after every 25 pages: each run has a window of its own."""
+    runs = progress(spark, d).withColumn("run", F.floor(F.col("page") / 25))
+    return J.eta(runs, ["job_id", "run"], "page", "seconds", F.lit(60)).select("job_id", "run", "page", "eta_seconds")
+
+
 @query(f"""WITH e AS (SELECT *, sum(CASE WHEN failed THEN 0 ELSE 1 END) OVER (PARTITION BY job_id ORDER BY page) AS island FROM ({_EVENTS}))
 SELECT job_id, page, sum(failed::INT) OVER (PARTITION BY job_id, island ORDER BY page)::BIGINT AS streak, sum(failed::INT) OVER (PARTITION BY job_id, island ORDER BY page) >= 3 AS abort FROM e""")
 def failure_streaks(spark, d):
@@ -218,16 +271,38 @@ def queue_summary(spark, d):
     return jobs(spark, d).agg(F.count_if(s == "QUEUED").alias("queued"), F.bool_or(s == "RUNNING").alias("active"), F.max(F.when(s == "RUNNING", F.col("job_id"))).alias("shown"))
 
 
-@query(f"SELECT job_id, row_number() OVER (ORDER BY job_id)::BIGINT AS place FROM ({_JOBS}) WHERE status = 'QUEUED' AND job_id <= 2000")
+@query(f"SELECT job_id, row_number() OVER (ORDER BY job_id)::BIGINT AS place FROM ({_JOBS}) WHERE status = 'QUEUED'")
 def queue_order(spark, d):
-    w = Window.orderBy("job_id")
-    return jobs(spark, d).where("status = 'QUEUED' and job_id <= 2000").select("job_id", F.row_number().over(w).cast("long").alias("place"))
+    """The place of every queued job; no window holds more than a range of them."""
+    return J.places(jobs(spark, d).where("status = 'QUEUED'").select("job_id"), "job_id")
 
 
-@query(f"SELECT job_id, row_number() OVER (ORDER BY job_id)::BIGINT AS place FROM ({_JOBS}) WHERE status = 'QUEUED'")
-def queue_order_all(spark, d):
-    """The whole queue; queue_order's SQL is of its first job_ids."""
-    return J.places(jobs(spark, d).where("status = 'QUEUED'").select("job_id"), "job_id")
+_VIEWED = "SELECT c_custkey AS owner, c_custkey * 7 AS job_id FROM customer WHERE c_custkey % 2 = 0 UNION SELECT o_custkey, min(o_orderkey) FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1"
+
+
+@query(f"""WITH j AS (SELECT o_custkey AS owner, job_id, status FROM ({_JOBS})), v AS ({_VIEWED}),
+p AS (SELECT owner, (SELECT max(job_id) FROM j x WHERE x.owner = o.owner AND status = 'RUNNING') AS a,
+  (SELECT max(x.job_id) FROM j x JOIN v ON v.owner = x.owner AND v.job_id = x.job_id WHERE x.owner = o.owner) AS w,
+  (SELECT max(job_id) FROM j x WHERE x.owner = o.owner) AS l FROM (SELECT DISTINCT owner FROM j) o)
+SELECT owner, coalesce(a, w, l) AS job_id, CASE WHEN a IS NOT NULL THEN 'active' WHEN w IS NOT NULL THEN 'viewed' ELSE 'latest' END AS why FROM p""")
+def display_job(spark, d):
+    j = jobs(spark, d).select(F.col("o_custkey").alias("owner"), "job_id", "status", F.col("job_id").alias("added"))
+    c = table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("owner"), (F.col("c_custkey") * 7).alias("job_id"))
+    first = table(spark, d, "orders").where("o_custkey % 3 = 0").groupBy(F.col("o_custkey").alias("owner")).agg(F.min("o_orderkey").alias("job_id"))
+    return J.shown_jobs(j, c.union(first), "owner")
+
+
+_BOARD = "SELECT c_custkey AS job_id, c_name AS filename, CASE c_custkey % 3 WHEN 0 THEN 'RUNNING' WHEN 1 THEN 'COMPLETED' ELSE 'FAILED' END AS status FROM customer"
+
+
+@query(f"""SELECT j.job_id, filename, CASE status WHEN 'RUNNING' THEN 'Translating' WHEN 'COMPLETED' THEN 'Completed' ELSE 'Failed' END AS label, coalesce(n, 0)::BIGINT AS pages_done,
+  least(100.0::DOUBLE, format('{{:.1f}}', coalesce(n, 0) / 70::DOUBLE * 100)::DOUBLE) AS percent, last_log
+FROM ({_BOARD}) j LEFT JOIN (SELECT job_id, max(page) + 1 AS n, max_by({"'[' || strftime(ts, '%H:%M:%S') || '] ' || event_type"}, page) AS last_log FROM ({_EVENTS}) GROUP BY job_id) e ON e.job_id = j.job_id""")
+def job_board(spark, d):
+    """Jobs with their progress and their newest log line."""
+    k, e = F.col("c_custkey"), progress(spark, d)
+    j = table(spark, d, "customer").select(k.alias("job_id"), F.col("c_name").alias("filename"), F.when(k % 3 == 0, "RUNNING").when(k % 3 == 1, "COMPLETED").otherwise("FAILED").alias("status"))
+    return J.board(j, e.select("job_id", "page"), e.select("job_id", F.col("page").alias("seq"), _log_line().alias("line")), F.lit(70))
 
 
 @query(f"SELECT job_id, status IN ('COMPLETED', 'FAILED', 'CANCELLED') AS is_terminal, status IN ('QUEUED', 'RUNNING', 'PAUSED') AS is_active FROM ({_JOBS})")
@@ -300,11 +375,53 @@ def model_available(spark, d):
     return m.select(F.col("id").cast("long").alias("id"), (listed | (F.size("models") == 0)).alias("usable"), F.size(options).cast("long").alias("options"))
 
 
-@query("SELECT * FROM (VALUES ('en-bn', 'en', 'bn'), ('a-b-c', 'a', 'b-c'), (' x - y ', 'x', 'y')) AS t(pair, src, dst)")
+@query("SELECT replace(replace(pair, 'T', chr(9)), 'N', chr(160)) AS pair, src, dst FROM (VALUES ('en-bn', 'en', 'bn'), ('a-b-c', 'a', 'b-c'), (' x - y ', 'x', 'y'), ('Tde -Nfr', 'de', 'fr'), ('-', '', '')) AS t(pair, src, dst)")
 def parse_pairs(spark, d):
-    p = values(spark, "('en-bn'), ('en'), ('a-b-c'), (' x - y ') AS t(pair)").withColumn("s", F.split("pair", "-", 2)).where(F.size("s") == 2)
-    return p.select("pair", F.trim(F.col("s")[0]).alias("src"), F.trim(F.col("s")[1]).alias("dst"))
+    """T and N stand for a tab and a no-break space."""
+    p = values(spark, "('en-bn'), ('en'), ('a-b-c'), (' x - y '), ('Tde -Nfr'), ('-') AS t(pair)").select(F.translate("pair", "TN", "\t\u00a0").alias("pair"))
+    p = p.withColumn("s", F.split("pair", "-", 2)).where(F.size("s") == 2)
+    return p.select("pair", py_strip(F.col("s")[0]).alias("src"), py_strip(F.col("s")[1]).alias("dst"))
+
+
+@query(f"SELECT count(*)::BIGINT AS pairs, count(*) FILTER (NOT ok)::BIGINT AS missing, bool_or(NOT ok) AS any_missing FROM (SELECT w.src = w.dst OR EXISTS (SELECT 1 FROM documents WHERE lang = w.src AND w.dst = 'en') AS ok FROM {_WANTED_SQL} w)")
+def engine_status(spark, d):
+    """Whether any supported pair has no model."""
+    ok = F.col("available")
+    return pair_availability(spark, d).agg(F.count("*").alias("pairs"), F.count_if(~ok).alias("missing"), F.bool_or(~ok).alias("any_missing"))
+
+
+@query("SELECT lang, CASE lang WHEN 'bn' THEN 'bn' ELSE 'en' END AS engine, count(*)::BIGINT AS n FROM (SELECT lang FROM documents UNION ALL SELECT 'bn') GROUP BY 1, 2")
+def ocr_languages(spark, d):
+    langs = table(spark, d, "documents").select("lang").union(values(spark, "('bn') AS t(lang)"))
+    return langs.select("lang", formats.ocr_language(F.col("lang")).alias("engine")).groupBy("lang", "engine").agg(F.count("*").alias("n"))
+
+
+@query("SELECT * FROM (VALUES ('chunk_max_chars', 400, TRUE), ('chunk_max_chars', 410, FALSE), ('chunk_max_chars', 850, FALSE), ('translation_workers', 6, TRUE), ('online_translation_workers', 5, FALSE), ('refine_timeout', 17, TRUE), ('ocr_dpi', 125, TRUE), ('theme', 1, NULL)) AS t(name, value, ok)")
+def tuning_ranges(spark, d):
+    v = values(spark, "('chunk_max_chars', 400), ('chunk_max_chars', 410), ('chunk_max_chars', 850), ('translation_workers', 6), ('online_translation_workers', 5), ('refine_timeout', 17), ('ocr_dpi', 125), ('theme', 1) AS t(name, value)")
+    return v.select("name", "value", formats.in_range(F.col("name"), F.col("value")).alias("ok"))
+
+
+@query("SELECT * FROM (VALUES (1, TRUE), (2, FALSE), (3, FALSE), (4, FALSE), (5, FALSE)) AS t(id, ok)")
+def start_guard(spark, d):
+    v = values(spark, "(1, array('f'), array('docx'), 'en', 'bn'), (2, cast(array() as array<string>), array('docx'), 'en', 'bn'), (3, array('f'), cast(null as array<string>), 'en', 'bn'), (4, array('f'), array('txt'), 'en', 'en'), (5, array('f'), array('txt'), null, null) AS t(id, files, formats, src, dst)")
+    return v.select("id", formats.may_start(F.col("files"), F.col("formats"), F.col("src"), F.col("dst")).alias("ok"))
+
+
+@query("SELECT * FROM (VALUES (1, 'm:3b,x'), (2, ''), (3, ''), (4, '')) AS t(id, models)")
+def list_models(spark, d):
+    """The names in a model server's reply; none for an error."""
+    r = spark.createDataFrame([(1, '{"models": [{"name": "m:3b"}, {"name": ""}, {"size": 1}, {"name": "x"}]}'), (2, "502 bad gateway"), (3, None), (4, '{"models": []}')], "id int, reply string")
+    return r.select("id", F.array_join(records.model_names(F.col("reply")), ",").alias("models"))
+
 
+@query("SELECT * FROM (VALUES ('ann', 'a', '1'), ('ann', 'b', '20'), ('ann', 'z', 'new'), ('bob', 'a', '1'), ('bob', 'b', '2'), ('cy', 'a', '1'), ('cy', 'b', '2')) AS t(who, key, value)")
+def settings_files(spark, d):
+    """Settings files over the defaults; a torn file (bob) or a reset one (cy) leaves the defaults."""
+    files = spark.createDataFrame([("ann", '{"b": 20, "z": "new"}'), ("bob", '{"b": 20,'), ("cy", "{}")], "who string, file string")
+    stored = files.select("who", F.explode(records.parse_settings("file")).alias("key", "value"))
+    defaults = values(spark, "('a', '1'), ('b', '2') AS t(key, value)").crossJoin(F.broadcast(files.select("who")))
+    return J.overlay(defaults, stored, "who", "key")
 
 _BACKENDS = "('argos'), ('google'), ('deepl'), (NULL) AS t(name)"
 

@@ -104,6 +104,30 @@ def pdf_paragraphs(spark, d):
     return doc_paragraphs(spark, d).withColumn("paragraph", X.xml_escape(F.col("paragraph")))
 
 
+_CONV_LINES = f"SELECT conv_id, turn, (k - 1)::BIGINT AS line, l[k] AS text FROM (SELECT conv_id, turn, l, unnest(range(1, len(l) + 1)) AS k FROM (SELECT conv_id, turn, {_PAGE} AS l FROM conversations))"
+_BUILT = f"""
+SELECT conv_id, -1::BIGINT AS page_num, 0::BIGINT AS seq, 'title' AS kind, 'conversation ' || conv_id AS text FROM (SELECT DISTINCT conv_id FROM conversations)
+UNION ALL SELECT conv_id, turn, 0, 'break', '' FROM conversations c WHERE turn > (SELECT min(turn) FROM conversations x WHERE x.conv_id = c.conv_id)
+UNION ALL SELECT conv_id, turn, 1, 'label', 'Page ' || (turn + 1) FROM conversations
+UNION ALL SELECT conv_id, turn, line + 2, 'paragraph', text FROM ({_CONV_LINES})"""
+
+
+def _built(spark, d):
+    p = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("page_num"), "text")
+    return C.document_rows(p, "conv_id", F.concat(F.lit("conversation "), F.col("conv_id").cast("string")))
+
+
+@query(_BUILT)
+def docx_rows(spark, d):
+    """All that a document holds: title, page breaks between pages, page labels, paragraphs or a placeholder."""
+    return _built(spark, d)
+
+
+@query(f"SELECT conv_id, page_num, seq, kind, {escape('text')} AS text FROM ({_BUILT})")
+def pdf_rows(spark, d):
+    return _built(spark, d).withColumn("text", X.xml_escape(F.col("text")))
+
+
 @query(f"SELECT doc_id, {escape('text')} AS escaped FROM documents")
 def xml_escape(spark, d):
     return table(spark, d, "documents").select("doc_id", X.xml_escape(F.col("text")).alias("escaped"))

@@ -63,3 +63,49 @@ def read_documents(spark: SparkSession, path: str, parse) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "page_num", "text", "had_error", "error_message"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
+
+
+def parse_array(text: str, schema: str) -> Column:
+    """The objects of a whole JSON array; an empty array if it is torn or isn't one."""
+    whole = F.col(text).rlike(r"(?s)^\s*\[.*\]\s*$")
+    return F.coalesce(F.when(whole, F.from_json(text, f"array<struct<{schema}>>", {"mode": "PERMISSIVE"})), F.array().cast(f"array<struct<{schema}>>"))
+
+
+def parse_settings(text: str) -> Column:
+    """The settings of a whole JSON object as a map of texts; none if it is torn or isn't one."""
+    whole = F.col(text).rlike(r"(?s)^\s*\{.*\}\s*$")
+    return F.coalesce(F.when(whole, F.from_json(text, "map<string,string>", {"mode": "PERMISSIVE"})), F.create_map().cast("map<string,string>"))
+
+
+def read_history(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The entries of JSON array files; a file that can't be parsed counts as empty."""
+    files = spark.read.text(path, wholetext=True)
+    return files.select(F.explode(parse_array("value", schema)).alias("r")).select("r.*")
+
+
+def write_history(entries: DataFrame, path: str) -> None:
+    """Overwrite a history with one JSON array; meant for a person's history, which one file holds."""
+    one = entries.agg(F.to_json(F.sort_array(F.collect_list(F.struct(*entries.columns)))).alias("value"))
+    one.coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_settings(spark: SparkSession, path: str) -> DataFrame:
+    """(key, value) of a JSON object file; a file that can't be parsed has none, so defaults hold (see jobs.overlay)."""
+    return spark.read.text(path, wholetext=True).select(F.explode(parse_settings("value")).alias("key", "value"))
+
+
+def checkpoint_job(path: Column) -> Column:
+    """The job whose folder holds this checkpoint file; null for other files."""
+    return F.nullif(F.regexp_extract(path, r"([^/]+)/checkpoint\.json$", 1), F.lit(""))
+
+
+def list_checkpoints(spark: SparkSession, root: str) -> DataFrame:
+    """(job_id) of the folders of ``root`` that hold a checkpoint; file contents aren't read."""
+    files = spark.read.format("binaryFile").load(f"{root}/*/checkpoint.json").select(checkpoint_job(F.col("path")).alias("job_id"))
+    return files.distinct()
+
+
+def model_names(reply: Column) -> Column:
+    """The non-empty names of a model server's JSON reply; none if it can't be parsed."""
+    models = F.from_json(reply, "models array<struct<name:string>>", {"mode": "PERMISSIVE"})["models"]
+    return F.coalesce(F.filter(F.transform(models, lambda m: m["name"]), lambda n: n.isNotNull() & (n != "")), F.array().cast("array<string>"))
