@@ -9,12 +9,14 @@ added up. A document is the mean and the deviation of its words' vectors.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, as_bytes, batch, mix64, slices, stored
+from .common import arrow_schema, as_bytes, batch, byte_runs, mix64, slices, stored
 
 BUCKETS, DIMS, NONZERO = 8192, 32, 2
 #: Words on each side that count as neighbours.
@@ -23,7 +25,8 @@ REACH = 2
 TRAIN_ROWS = 20_000
 HIDDEN, EPOCHS, SEED = 32, 60, 11
 THRESHOLD = 0.7
-_SLICE = 1 << 20
+#: Bytes of text that are worked on at once; what a task holds beside an Arrow batch depends on this alone.
+_SLICE = 256 << 10
 _BLOCK = 256
 _SHAPES = 8
 _BASE = 0xA0761D6478BD642F
@@ -42,12 +45,35 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, DIMS, (BUCKETS + _SHAPES, NONZERO)), rng.choice([-1.0, 1.0], (BUCKETS + _SHAPES, NONZERO))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    x = np.full(n, base, np.uint64)
+@lru_cache
+def _powers(base: int, size: int) -> np.ndarray:
+    x = np.full(size, base, np.uint64)
     x[:1] = 1
     return np.multiply.accumulate(x)
 
 
+def _parts(texts: list[bytes | None]):
+    """The texts as lists of (text number, piece) of about _SLICE bytes; longer texts are cut at white space.
+
+    Only a word that fills a whole slice is cut itself.
+    """
+    part, held = [], 0
+    for i, text in enumerate(texts):
+        text, at = text or b"", 0
+        while at < len(text):
+            stop = min(len(text), at + _SLICE)
+            if stop < len(text):
+                stop = max(text.rfind(b" ", at, stop), text.rfind(b"\n", at, stop)) + 1 or stop
+            part.append((i, text[at:stop]))
+            held += stop - at + 1
+            at = stop
+            if held >= _SLICE // 2:
+                yield part
+                part, held = [], 0
+    if part:
+        yield part
+
+
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, bucket, shape bucket) of each token of some texts, in order."""
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
@@ -56,8 +82,9 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     first, last = edge[:-1], edge[1:]
     real = kind[first] > 0
     first, last = first[real], last[real]
-    total = np.r_[np.uint64(0), np.add.accumulate(_BYTES[data] * _powers(_BASE, len(data)))]
-    h = mix64((total[last] - total[first]) * _powers(_INVERSE, len(data))[first] + (last - first).astype(np.uint64))
+    room = max(2 * _SLICE, len(data))
+    total = np.r_[np.uint64(0), np.add.accumulate(_BYTES[data] * _powers(_BASE, room)[: len(data)])]
+    h = mix64((total[last] - total[first]) * _powers(_INVERSE, room)[first] + (last - first).astype(np.uint64))
     bucket = (h >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
     count = lambda table: np.r_[0, np.cumsum(table[data])]
     upper, lower, digit = (c[last] - c[first] for c in map(count, (_UPPER, _LOWER, _DIGIT)))
@@ -76,15 +103,29 @@ def _context(batches):
     rows = BUCKETS + _SHAPES
     table = np.zeros(rows * DIMS)
     for (texts,) in slices(batches, "text", size=_SLICE):
-        doc, bucket, shape = tokens([t or b"" for t in texts])
-        # words meet words, shapes meet shapes
-        for own in (bucket, shape):
-            for step in range(1, REACH + 1):
-                near = doc[step:] == doc[:-step]
-                left, right = own[:-step][near], own[step:][near]
-                for a, b in ((left, right), (right, left)):
-                    for k in range(NONZERO):
-                        table += np.bincount(a * DIMS + dims[b, k], signs[b, k], rows * DIMS)
+        last, tails = -1, [np.empty(0, np.int64)] * 2
+        for part in _parts(texts):
+            doc, bucket, shape = tokens([piece for _, piece in part])
+            doc = np.array([i for i, _ in part])[doc]
+            if not len(doc):
+                continue
+            if doc[0] != last:
+                tails = [t[:0] for t in tails]
+            # the last words of a text's former piece stand before this one's
+            known = len(tails[0])
+            whole = np.r_[np.full(known, last), doc]
+            last = int(doc[-1])
+            # words meet words, shapes meet shapes
+            for which, ids in enumerate((bucket, shape)):
+                own = np.r_[tails[which], ids]
+                for step in range(1, REACH + 1):
+                    near = whole[step:] == whole[:-step]
+                    near[: max(0, known - step)] = False
+                    left, right = own[:-step][near], own[step:][near]
+                    for a, b in ((left, right), (right, left)):
+                        for k in range(NONZERO):
+                            table += np.bincount(a * DIMS + dims[b, k], signs[b, k], rows * DIMS)
+                tails[which] = own[-REACH:][whole[-REACH:] == last]
     table = table.astype(np.int64).reshape(rows, DIMS)
     part = pyspark.TaskContext.get().partitionId()
     for k in range(0, rows, _BLOCK):
@@ -107,27 +148,39 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     return (table / np.maximum(1e-9, np.linalg.norm(table, axis=1, keepdims=True))).astype(np.float32)
 
 
-def pooled(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
+def pooled(texts: list[bytes | None], vectors: np.ndarray) -> np.ndarray:
     """Mean and deviation of the vectors of each text's words and of their shapes, and the mean product of neighbours' vectors.
 
-    The last is near one where a text repeats a word on end; zeros for a text without tokens.
+    The last is near one where a text repeats a word on end; zeros for a text
+    without tokens. Sums are taken piece by piece, so that a long text holds no
+    more than a short one.
     """
-    out = np.zeros((len(texts), 5 * DIMS), np.float32)
-    doc, bucket, shape = tokens(texts)
-    if not len(doc):
-        return out
-    head = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-    n = np.diff(np.r_[head, len(doc)])[:, None].astype(np.float32)
-    for k, ids in enumerate((bucket, shape)):
-        v = vectors[ids]
-        mean = np.add.reduceat(v, head, axis=0) / n
-        square = np.add.reduceat(v * v, head, axis=0) / n
-        out[doc[head], 2 * k * DIMS : (2 * k + 2) * DIMS] = np.concatenate([mean, np.sqrt(np.maximum(0, square - mean * mean))], 1)
-        if not k:
-            v[:-1] *= v[1:]
-            v[np.r_[head[1:], len(v)] - 1] = 0
-            out[doc[head], 4 * DIMS :] = np.add.reduceat(v, head, axis=0) / n
-    return out
+    sums, n = np.zeros((len(texts), 5 * DIMS)), np.zeros(len(texts))
+    last, tail = -1, None
+    for part in _parts(texts):
+        doc, bucket, shape = tokens([piece for _, piece in part])
+        if not len(doc):
+            continue
+        doc = np.array([i for i, _ in part])[doc]
+        head = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+        own = doc[head]
+        n[own] += np.diff(np.r_[head, len(doc)])
+        for k, ids in enumerate((bucket, shape)):
+            v = vectors[ids]
+            sums[own, 2 * k * DIMS : (2 * k + 1) * DIMS] += np.add.reduceat(v, head, axis=0)
+            sums[own, (2 * k + 1) * DIMS : (2 * k + 2) * DIMS] += np.add.reduceat(v * v, head, axis=0)
+            if not k:
+                if own[0] == last:
+                    sums[last, 4 * DIMS :] += tail * v[0]
+                last, tail = int(own[-1]), v[-1].copy()
+                v[:-1] *= v[1:]
+                v[np.r_[head[1:], len(v)] - 1] = 0
+                sums[own, 4 * DIMS :] += np.add.reduceat(v, head, axis=0)
+    sums /= np.maximum(n, 1)[:, None]
+    for k in (0, 2):
+        mean, square = sums[:, k * DIMS : (k + 1) * DIMS], sums[:, (k + 1) * DIMS : (k + 2) * DIMS]
+        square[:] = np.sqrt(np.maximum(0, square - mean * mean))
+    return sums.astype(np.float32)
 
 
 class Network:
@@ -194,10 +247,12 @@ def fitted(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None)
     def run(batches):
         schema = arrow_schema("doc_id long, y int, x binary")
         for texts, ids, ys in slices(batches, "text", "doc_id", "y", size=_SLICE):
-            x = pooled([t or b"" for t in texts], vectors)
+            x = pooled(texts, vectors)
             yield batch(schema, ids, ys, [r.tobytes() for r in x])
 
-    got = sorted(rows.mapInArrow(run, "doc_id long, y int, x binary").collect(), key=lambda r: (r.doc_id, bytes(r.x)))[: 2 * TRAIN_ROWS]
+    # rows that share a labelled id may be more than the labels: the bound is on rows
+    got = rows.mapInArrow(run, "doc_id long, y int, x binary").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id", "x").limit(TRAIN_ROWS).collect()
+    got = sorted(got, key=lambda r: (r.doc_id, bytes(r.x)))
     y = np.array([r.y for r in got])
     if len(np.unique(y)) < 2:
         return vectors, float(y.mean()) if len(y) else 0.5
@@ -218,16 +273,11 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, Network | float], score: st
         import pyarrow as pa
 
         vectors, network = sent.value
-        for b in batches:
-            texts, out, start, held = as_bytes(b.column(at).cast(pa.string())), [], 0, 0
-            for i, t in enumerate(texts):
-                held += len(t or b"")
-                if held >= _SLICE or i == len(texts) - 1:
-                    part = [t or b"" for t in texts[start : i + 1]]
-                    out.append(np.full(len(part), network) if isinstance(network, float) else network.score(pooled(part, vectors)))
-                    start, held = i + 1, 0
-            s = pa.array(np.concatenate(out) if out else [], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns, s], names=[*b.schema.names, score])
+        for whole in batches:
+            for b in byte_runs(whole, at, _SLICE):
+                texts = as_bytes(b.column(at))
+                s = np.full(len(texts), network) if isinstance(network, float) else network.score(pooled(texts, vectors))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, score])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())]))
 
