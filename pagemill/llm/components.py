@@ -60,9 +60,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     while True:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"))
+        # minima are tables of their own: the join can split a hot node only if neither side is aggregated in its stage
+        low = stored(both.groupBy("u").agg(F.min("v").alias("m")), "minima")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = stored(large, "large")
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m")), "minima")
         small = large.join(low, "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
         e = stored(small, "stars")

@@ -7,10 +7,13 @@ The ranks of an element are a permutation, so slots are correlated in the way
 that lowers the variance, and elements need not be walked further once every
 slot holds a value below the current rank: the early stop.
 
-Plan: documents -> (set key, signature) -> one class per distinct set -> bands
--> star pairs in each bucket -> exact check on full sets -> components -> members
-of different components that share a bucket and look alike -> exact check of
-these in tiles -> components. No step makes the pairs of a group as rows.
+Plan: documents -> (set key, signature) -> one class per distinct set -> bands ->
+each bucket's star around the member that shares the most -> pairs that look
+alike -> clusters. Members of a bucket that are in different clusters are compared
+by sketches in tiles, which joins clusters. Links are only within clusters: the
+stars' pairs are checked on full sets, which gives components of links; then the
+components of a cluster are checked against its largest one, in tiles. No step makes the pairs of a group as rows: a hot group is one cluster
+from the star on, and a tile gives at most a spanning forest.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batch, mix64, slices, stored
+from .common import SLICE_BYTES, arrow_schema, as_bytes, batch, byte_rows, byte_runs, column, key_groups, mix64, slices, stored
 from .components import connected_components
 
 #: 48 bands of 6 slots: a pair at similarity 0.8 shares no band with odds (1 - 0.8 ** 6) ** 48 = 5e-7.
@@ -28,8 +31,10 @@ BANDS, ROWS = 48, 6
 #: Pairs whose signatures agree on a smaller part of the slots are not verified.
 #: At a true similarity of 0.8 the estimate's deviation is below 0.024: more than 8 deviations.
 LEAST_ESTIMATE = 0.6
-#: Members of a bucket that one task compares at once; larger buckets are tiled.
+#: Members of a bucket or cluster that one task holds; larger ones are tiled.
 TILE = 512
+#: Members that stream past those in one task.
+STREAM = 4096
 
 _GOLDEN = 0x9E3779B97F4A7C15
 _EMPTY = np.uint32(0xFFFFFFFF)
@@ -93,7 +98,7 @@ def signatures(sets: list[np.ndarray], slots: int) -> np.ndarray:
     return out
 
 
-def _grouped(sets: list[np.ndarray], most: int = 200_000):
+def _grouped(sets: list[np.ndarray], most: int = 100_000):
     """Consecutive runs of sets with about ``most`` elements."""
     start = held = 0
     for i, s in enumerate(sets):
@@ -135,30 +140,65 @@ def features(docs: DataFrame, shingle: int = 5, bands: int = BANDS, rows: int =
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, ddl)
 
 
-def verified(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of documents whose full shingle sets have ``100 * intersection >= percent * union``."""
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
+
+
+def _dealt(texts: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of ``wanted`` (keys, side, doc and others) with their texts (doc, text), each group in one partition, side 0 first."""
+    rows = texts.join(wanted.hint("merge"), "doc").select(*keys, "side", "doc", *(c for c in wanted.columns if c not in (*keys, "side", "doc")), "text")
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "side", "doc")
+
+
+def _spread(of: int, count: str):
+    """Numbers 0, 1, ... of the tiles of ``of`` members that hold ``count`` of them."""
+    return F.explode(F.expr(f"sequence(0, cast(ceil({count} / {of}) as int) - 1)"))
+
+
+def _tile(doc: str, of: int, count: str):
+    return F.pmod(F.xxhash64(doc), F.ceil(F.col(count) / of)).cast("int")
+
+
+def verified(texts: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of documents whose full shingle sets have ``100 * intersection >= percent * union``.
+
+    A document's pairs stream past its set, in tiles of STREAM; of a doc_id with
+    several texts any may do.
+    """
+    sizes = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    centres = sizes.select("a", _spread(STREAM, "n").alias("t"), F.lit(0).alias("side"), F.col("a").alias("doc"))
+    members = pairs.join(sizes, "a").select("a", _tile("b", STREAM, "n").alias("t"), F.lit(1).alias("side"), F.col("b").alias("doc"))
 
     def run(batches):
         schema = arrow_schema("a long, b long")
-        last, kept = None, np.empty(0, np.uint64)
-        for text_b, text_a, a, b in slices(batches, "text_b", "text_a", "a", "b"):
+        key, own = None, []
+        for a, t, side, doc, text in _rows(batches):
             good = []
-            for i, other in enumerate(text_b):
-                if last != (own := (a[i], text_a[i])):
-                    last, kept = own, shingle_set(_utf8(text_a[i]), shingle)
-                mine = shingle_set(other, shingle)
-                both = len(kept) + len(mine) - len(np.union1d(kept, mine))
-                if both and 100 * both >= percent * (len(kept) + len(mine) - both):
+            for i, words in enumerate(text):
+                if (a[i], t[i]) != key:
+                    key, own = (a[i], t[i]), []
+                mine = shingle_set(words, shingle)
+                if not side[i]:
+                    own.append(mine)
+                elif any(_linked(x, mine, percent) for x in own):
                     good.append(i)
-            yield batch(schema, [a[i] for i in good], [b[i] for i in good])
+            yield batch(schema, [a[i] for i in good], [doc[i] for i in good])
+
+    return _dealt(texts, stored(centres.unionByName(members), "stars"), ["a", "t"]).mapInArrow(run, "a long, b long").distinct()
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    with_b = pairs.join(texts.toDF("b", "text_b"), "b")
-    return with_b.join(texts.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
+def _rows(batches):
+    """Lists of the columns' values, the last one a text, cut after some bytes of text."""
+    for whole in batches:
+        for b in byte_runs(whole, whole.num_columns - 1, SLICE_BYTES):
+            yield [*(c.to_pylist() for c in b.columns[:-1]), as_bytes(b.columns[-1])]
 
-def _utf8(x: str | bytes | None) -> bytes:
-    return x.encode() if isinstance(x, str) else x or b""
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = len(x) + len(y) - len(np.union1d(x, y))
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def _alike(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -167,118 +207,129 @@ def _alike(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     def run(batches):
         schema = arrow_schema("a long, b long")
         for b in batches:
-            if not b.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(b.num_rows, -1) for i in (2, 3))
-            good = (x == y).mean(axis=1) >= LEAST_ESTIMATE
-            yield batch(schema, b.column(0).to_numpy()[good], b.column(1).to_numpy()[good])
+            if b.num_rows:
+                good = (byte_rows(b.column(2)) == byte_rows(b.column(3))).mean(axis=1) >= LEAST_ESTIMATE
+                yield batch(schema, b.column(0).to_numpy()[good], b.column(1).to_numpy()[good])
 
     s = reps.select("doc_id", "sketch")
     full = pairs.join(s.toDF("a", "sa"), "a").join(s.toDF("b", "sb"), "b")
-    return full.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return full.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
+
 
+class _Forest:
+    """Union-find that tells which links join two trees."""
 
-def _find(parent: dict[int, int], x: int) -> int:
-    while parent.setdefault(x, x) != x:
-        parent[x] = parent[parent[x]]
-        x = parent[x]
-    return x
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while self.parent.setdefault(x, x) != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        p, q = self.find(x), self.find(y)
+        self.parent[max(p, q)] = min(p, q)
+        return p != q
 
 
 def _crossing(members: DataFrame, reps: DataFrame) -> DataFrame:
-    """What is left open in the buckets: rows (a, b, None) that tie components whose members look alike, and (None, None, doc) of those members.
+    """Pairs (a, b) of clusters that hold members which share a bucket and look alike.
 
-    ``members``: bucket, doc, comp. Tiles hold at most TILE x TILE members;
-    members of a bucket's most frequent component aren't compared with each
-    other. A tile gives a spanning forest of its components and each member
-    once, so the rows never outgrow the members, however alike a group is.
+    ``members``: bucket, doc, cluster. Members outside of a bucket's most
+    frequent cluster are held in tiles, all its members stream past them; a tile
+    gives a spanning forest of its clusters.
     """
 
-    def run(key, rows):
-        import pandas as pd
-
-        left, right = rows[rows.side == 0], rows[rows.side == 1]
-        ties, docs, parent = [], set(), {}
-        if len(left) and len(right):
-            x, y = (np.frombuffer(b"".join(s.sketch), np.uint8).reshape(len(s), -1) for s in (left, right))
-            cx, cy, dx, dy = left.comp.to_numpy(), right.comp.to_numpy(), left.doc.to_numpy(), right.doc.to_numpy()
-            need = LEAST_ESTIMATE * x.shape[1]
-            for i in range(len(left)):
-                open_ = np.flatnonzero(cy != cx[i])
-                if len(open_):
-                    open_ = open_[(y[open_] == x[i]).sum(axis=1) >= need]
-                    if len(open_):
-                        docs.add(int(dx[i]))
-                        docs.update(dy[open_].tolist())
-                        for c in np.unique(cy[open_]).tolist():
-                            p, q = _find(parent, int(cx[i])), _find(parent, c)
-                            if p != q:
-                                parent[max(p, q)] = min(p, q)
-                                ties.append((int(cx[i]), c))
-        n, m = len(ties), len(docs)
-        return pd.DataFrame({"a": [t[0] for t in ties] + [None] * m, "b": [t[1] for t in ties] + [None] * m, "doc": [None] * n + sorted(docs)}, dtype="Int64")
-
-    # counted by component first: the most frequent one of a bucket is then found without holding all its components
-    parts = members.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-    sizes = parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.max(F.struct("n", "comp")).alias("m"))
-    sizes = sizes.where("parts > 1").select("bucket", F.col("m.comp").alias("most"), F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
-    m = members.join(sizes, "bucket").join(reps.select(F.col("doc_id").alias("doc"), "sketch"), "doc")
-    own = F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int")
-    every = F.explode(F.expr("sequence(0, tiles - 1)"))
-    probe = m.select("bucket", "doc", "comp", "sketch", own.alias("t"), every.alias("u"), F.lit(0).alias("side"))
-    build = m.where("comp <> most").select("bucket", "doc", "comp", "sketch", every.alias("t"), own.alias("u"), F.lit(1).alias("side"))
-    return probe.union(build).groupBy("bucket", "t", "u").applyInPandas(run, "a long, b long, doc long").distinct()
-
-
-def _settled(docs: DataFrame, open_: DataFrame, found: DataFrame, sizes: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links (a, b) that join components, from the exact check of the members that _crossing left open.
-
-    Components that look alike form clusters; a cluster's open members are dealt
-    out in tiles by count and by shingles, and each pair of tiles is checked on
-    full sets in one task, which gives a spanning forest of the links it finds.
+    def run(batches):
+        schema = arrow_schema("a long, b long")
+        for _, parts in key_groups(batches, 3):
+            side, cluster, sketch = column(parts, 3).to_numpy(), column(parts, 4).to_numpy(), byte_rows(column(parts, 5))
+            held = side == 0
+            ours, theirs, x, y = cluster[held], cluster[~held], sketch[held], sketch[~held]
+            if not len(ours) or not len(theirs):
+                continue
+            need, forest, ties = LEAST_ESTIMATE * x.shape[1], _Forest(), []
+            for i in range(len(theirs)):
+                other = np.flatnonzero(ours != theirs[i])
+                alike = other[(x[other] == y[i]).sum(axis=1) >= need]
+                ties += [(int(theirs[i]), c) for c in np.unique(ours[alike]).tolist() if forest.join(int(theirs[i]), c)]
+            if ties:
+                yield batch(schema, *zip(*ties, strict=True))
+
+    # counted by cluster first: the most frequent one of a bucket is then found without holding all its clusters
+    parts = members.groupBy("bucket", "cluster").agg(F.count("*").alias("n"))
+    sizes = parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.max(F.struct("n", "cluster")).alias("m")).where("parts > 1")
+    sizes = sizes.select("bucket", "n", (F.col("n") - F.col("m.n")).alias("rest"), F.col("m.cluster").alias("most"))
+    m = members.join(stored(sizes, "mixed"), "bucket").join(reps.select(F.col("doc_id").alias("doc"), "sketch"), "doc")
+    m = stored(m, "crossing")
+    held = m.where("cluster <> most").select("bucket", _spread(STREAM, "n").alias("t"), _tile("doc", TILE, "rest").alias("u"), F.lit(0).alias("side"), "cluster", "sketch")
+    past = m.select("bucket", _tile("doc", STREAM, "n").alias("t"), _spread(TILE, "rest").alias("u"), F.lit(1).alias("side"), "cluster", "sketch")
+    rows = held.unionByName(past).repartition("bucket", "t", "u").sortWithinPartitions("bucket", "t", "u")
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def _settled(texts: DataFrame, clusters: DataFrame, found: DataFrame, sizes: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) that join components within a cluster, from the exact check on full sets.
+
+    ``clusters`` and ``found``: (node, component). Members outside of a cluster's
+    largest component are held in tiles, all its members stream past them; a
+    tile gives a spanning forest of the links it finds.
     """
-    ties = open_.where("a is not null").select("a", "b")
-    clusters = connected_components(ties).withColumnsRenamed({"node": "comp", "component": "cluster"})
-    members = open_.where("doc is not null").select("doc").distinct().join(found.withColumnRenamed("node", "doc"), "doc", "left")
-    members = members.select("doc", F.coalesce("component", "doc").alias("comp")).join(clusters, "comp").join(sizes.withColumnRenamed("doc_id", "doc"), "doc")
-    members = stored(members, "open")
-    load = F.greatest(F.count("*") / TILE, F.sum("n_shingles") / (TILE * 600))
-    tiles = members.groupBy("cluster").agg(F.ceil(load).cast("int").alias("tiles"))
-    m = members.join(tiles, "cluster").withColumn("t", F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int"))
-    m = m.join(docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")), "doc")
-    m = m.withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
-    m = m.select("cluster", "doc", "comp", "text", "t", F.least("t", "other").alias("i"), F.greatest("t", "other").alias("j"))
-
-    def run(key, rows):
-        import pandas as pd
-
-        _, i, j = key
-        rows = rows.sort_values("doc")
-        comp, doc, tile = rows.comp.to_numpy(), rows.doc.to_numpy(), rows.t.to_numpy()
-        sets = [shingle_set(_utf8(t), shingle) for t in rows.text]
-        links, parent = [], {}
-        right = np.flatnonzero(tile == j)
-        size = np.array([len(s) for s in sets])
-        right = right[size[right] > 0]
-        if len(right):
-            ids, inverse = np.unique(np.concatenate([sets[r] for r in right]), return_inverse=True)
-            begin = np.r_[0, np.cumsum(size[right])][:-1]
-            seen = np.zeros(len(ids), np.int32)
-            for x in np.flatnonzero((tile == i) & (size > 0)).tolist():
-                at = np.searchsorted(ids, sets[x])
-                at = at[(at < len(ids)) & (ids[np.minimum(at, len(ids) - 1)] == sets[x])]
-                seen[at] = 1
-                both = np.add.reduceat(seen[inverse], begin)
-                seen[at] = 0
-                linked = (both > 0) & (100 * both >= percent * (size[x] + size[right] - both)) & (comp[right] != comp[x])
-                for y in right[linked].tolist():
-                    p, q = _find(parent, int(comp[x])), _find(parent, int(comp[y]))
-                    if p != q:
-                        parent[max(p, q)] = min(p, q)
-                        links.append((int(doc[x]), int(doc[y])))
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
-
-    return m.groupBy("cluster", "i", "j").applyInPandas(run, "a long, b long")
+    members = clusters.withColumnsRenamed({"node": "doc", "component": "cluster"}).join(found.withColumnsRenamed({"node": "doc", "component": "comp"}), "doc", "left")
+    members = members.withColumn("comp", F.coalesce("comp", "doc")).join(sizes.groupBy(F.col("doc_id").alias("doc")).agg(F.sum("n_shingles").alias("w")), "doc")
+    members = stored(members, "clusters")
+    # a member counts for as many as its set is larger than usual
+    load = F.sum(F.ceil(F.col("w") / 600)).alias("n")
+    parts = members.groupBy("cluster", "comp").agg(load)
+    totals = parts.groupBy("cluster").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.max(F.struct("n", "comp")).alias("m")).where("parts > 1")
+    totals = totals.select("cluster", "n", (F.col("n") - F.col("m.n")).alias("rest"), F.col("m.comp").alias("most"))
+    m = stored(members.join(totals, "cluster"), "open")
+    held = m.where("comp <> most").select("cluster", _spread(STREAM, "n").alias("t"), _tile("doc", TILE, "rest").alias("u"), F.lit(0).alias("side"), "doc", "comp")
+    past = m.select("cluster", _tile("doc", STREAM, "n").alias("t"), _spread(TILE, "rest").alias("u"), F.lit(1).alias("side"), "doc", "comp")
+
+    def run(batches):
+        schema = arrow_schema("a long, b long")
+        key, sets, forest, index = None, [], _Forest(), None
+        for cluster, t, u, side, doc, comp, text in _rows(batches):
+            links = []
+            for i, words in enumerate(text):
+                if (this := (cluster[i], t[i], u[i])) != key:
+                    key, sets, forest, index = this, [], _Forest(), None
+                mine = shingle_set(words, shingle)
+                if not side[i]:
+                    sets.append((doc[i], comp[i], mine))
+                    continue
+                index = index or _SetIndex(sets)
+                for d, c in index.linked(mine, percent, comp[i]):
+                    if forest.join(comp[i], c):
+                        links.append((d, doc[i]))
+            if links:
+                yield batch(schema, *zip(*links, strict=True))
+
+    return _dealt(texts, stored(held.unionByName(past), "tiles"), ["cluster", "t", "u"]).mapInArrow(run, "a long, b long")
+
+
+class _SetIndex:
+    """The elements of several documents' sets, to intersect another set with all at once."""
+
+    def __init__(self, sets: list[tuple[int, int, np.ndarray]]):
+        self.doc, self.comp = (np.array([s[k] for s in sets], np.int64) for k in (0, 1))
+        self.size = np.array([len(s[2]) for s in sets], np.int64)
+        owner = np.repeat(np.arange(len(sets)), self.size)
+        flat = np.concatenate([s[2] for s in sets]) if sets else np.empty(0, np.uint64)
+        order = np.argsort(flat, kind="stable")
+        self.elements, self.owner = flat[order], owner[order]
+
+    def linked(self, other: np.ndarray, percent: int, comp: int) -> list[tuple[int, int]]:
+        """(doc, component) of the sets in other components that are linked with ``other``."""
+        first, last = (np.searchsorted(self.elements, other, side) for side in ("left", "right"))
+        n = last - first
+        at = np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)
+        both = np.bincount(self.owner[at], minlength=len(self.doc))
+        good = np.flatnonzero((both > 0) & (100 * both >= percent * (self.size + len(other) - both)) & (self.comp != comp))
+        return list(zip(self.doc[good].tolist(), self.comp[good].tolist(), strict=True))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -288,29 +339,39 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     ``100 * intersection >= percent * union``, checked on full sets; component_id
     is the smallest doc_id reachable. Documents of equal sets are one class, so
     groups of copies never make pairs of their own. Null or empty texts have no
-    shingles and link with nothing; rows that share a doc_id are one document;
-    a null doc_id takes no part (component_id null, kept false). An empty table
-    gives an empty result; other columns of ``docs`` are not looked at.
+    shingles and link with nothing; rows that share a doc_id are one document,
+    linked with whatever any of their texts is linked with; a null doc_id takes
+    no part (component_id null, kept false). An empty table gives an empty
+    result; other columns of ``docs`` are not looked at.
     """
     f = stored(features(docs, shingle, bands, rows), "features")
-    f = f.withColumn("usable", F.col("k1").isNotNull() & F.col("doc_id").isNotNull())
-    classes = f.where("usable").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
+    usable = f.where("k1 is not null and doc_id is not null")
+    classes = stored(usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
     rep_ids = classes.select(F.col("rep").alias("doc_id")).distinct()
-    reps = stored(f.where("usable").join(rep_ids, "doc_id", "left_semi").select("doc_id", "n_shingles", "bands", "sketch").dropDuplicates(["doc_id"]), "reps")
+    reps = usable.join(rep_ids, "doc_id", "left_semi").select("doc_id", "k1", "k2", "n_shingles", "bands", "sketch").dropDuplicates(["doc_id", "k1", "k2"])
+    reps = stored(reps.drop("k1", "k2"), "reps")
     band = reps.select(F.col("doc_id").alias("doc"), F.explode("bands").alias("bucket"))
-    # every bucket's star has the member that is first in one random order of all documents, so stars share centres
-    first = F.min(F.struct(F.xxhash64("doc").alias("o"), F.col("doc").alias("centre")))
-    hubs = band.groupBy("bucket").agg(first.alias("m"), F.count("*").alias("n")).where("n > 1").select("bucket", "m.centre")
-    members = stored(band.join(hubs, "bucket"), "members")
-    star = members.where("doc <> centre").select(F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b")).distinct()
+    members = stored(band.join(band.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket"), "members")
+    # a bucket's centre is the member with the largest buckets: in a group of near copies, that which most copies are near to
+    rank = members.groupBy("doc").agg(F.struct(F.sum("n").alias("s"), F.xxhash64("doc").alias("o")).alias("rank"))
+    centres = members.join(rank, "doc").groupBy("bucket").agg(F.max(F.struct("rank", "doc")).alias("m")).select("bucket", F.col("m.doc").alias("a"))
+    star = members.join(centres, "bucket").where("doc <> a").select("a", F.col("doc").alias("b")).distinct()
     tried = stored(_alike(star, reps), "pairs")
-    links = stored(verified(docs, tried, shingle, percent), "links")
-    found = connected_components(links)
-    comp = F.coalesce("component", "doc").alias("comp")
-    placed = members.select("bucket", "doc").join(found.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", comp)
-    rest = stored(_crossing(placed, reps), "rest")
-    more = _settled(docs, rest, found, reps.select("doc_id", "n_shingles"), shingle, percent)
-    found = connected_components(links.union(more))
+    near = connected_components(tried)
+    cluster = F.coalesce("component", "doc").alias("cluster")
+    placed = members.select("bucket", "doc").join(near.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", cluster)
+    ties = stored(_crossing(placed, reps), "ties")
+    if ties.take(1):
+        near = connected_components(near.union(ties))
+    # the documents are shuffled once, by the same plan at every size; both checks read the candidates' texts alone
+    texts = stored(_texts(docs).join(near.select(F.col("node").alias("doc")).hint("merge"), "doc", "left_semi"), "texts")
+    found = connected_components(stored(verified(texts, tried, shingle, percent), "links"))
+    more = _settled(texts, near, found, reps.select("doc_id", "n_shingles"), shingle, percent)
+    # an id with texts of several classes ties these
+    own = usable.select("doc_id", "k1", "k2").join(classes, ["k1", "k2"]).select("doc_id", "rep")
+    several = own.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("doc_id", "lo")
+    same = own.join(several, "doc_id").where("rep <> lo").select(F.col("lo").alias("a"), F.col("rep").alias("b"))
+    found = connected_components(found.union(more).union(same))
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("c"))
     out = f.join(named, ["k1", "k2"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
