@@ -7,10 +7,11 @@ over a cluster, so suffixes are first dealt out by content: every string of
 length with the smallest hash. Equal windows have equal anchors at equal
 offsets, so all matches of a suffix lie in the group of its anchor, and anchors
 that occur once need no further look. Neighbouring windows with one anchor
-travel as one span; equal spans are one class; the distinct spans of an anchor
-are sorted as suffixes by their first ``length`` bytes, and all of a run of equal
-prefixes but the first have an earlier match. No LPF array is built on this path;
-``longest_previous_factor`` is called by its test alone.
+travel as one span; equal spans (by two 64-bit hashes, of the anchor and of the
+whole span) are one class; the distinct spans of an anchor are sorted as suffixes,
+with the common prefixes of neighbours, and the previous and next smaller
+positions in suffix order give each suffix its longest previous factor, up to
+``length``. A suffix whose factor reaches ``length`` has an earlier match there.
 
 An anchor with very many distinct spans (a passage that a large part of the
 documents quote) is dealt out over several tasks, which exchange their distinct
@@ -26,76 +27,81 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, as_bytes, batch, mix64, slices, stored
+from .common import SLICE_BYTES, arrow_schema, as_bytes, batch, byte_runs, mix64, slices, stored
 
 LENGTH = 400
 #: Distinct spans of one anchor that are sorted by one task; more are dealt out.
 GROUP = 1024
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _NULL = -(1 << 63)
 
 
-def longest_previous_factor(text: bytes) -> np.ndarray:
-    """The LPF array of a text: of each position, the longest match that starts earlier.
-
-    Suffix array by prefix doubling, LCP by Kasai's rule, then for each suffix
-    the previous and the next one in suffix order with a smaller position.
-    """
-    n = len(text)
-    if not n:
-        return np.empty(0, np.int64)
-    rank = np.frombuffer(text, np.uint8).astype(np.int64)
-    width = 1
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: max(0, n - width)] = rank[width:] + 1
-        order = np.lexsort((after, rank))
-        step = np.r_[0, (rank[order][1:] != rank[order][:-1]) | (after[order][1:] != after[order][:-1])].cumsum()
-        rank = np.empty(n, np.int64)
-        rank[order] = step
-        if step[-1] == n - 1 or width >= n:
-            break
-        width *= 2
-    lcp, h = [0] * n, 0
-    for i in range(n):
-        if rank[i]:
-            j = order[rank[i] - 1]
-            while i + h < n and j + h < n and text[i + h] == text[j + h]:
-                h += 1
-            lcp[rank[i]] = h
-            h = max(0, h - 1)
-        else:
-            h = 0
-    out = np.zeros(n, np.int64)
-    for positions, common in ((order, lcp), (order[::-1], [0, *lcp[:0:-1]])):
-        stack: list[tuple[int, int]] = []  # (position, common prefix with the suffix before it on the stack)
-        for p, c in zip(positions, common, strict=True):
-            while stack and stack[-1][0] > p:
-                c = min(c, stack.pop()[1])
-            if stack:
-                out[p] = max(out[p], c)
-            stack.append((p, c))
-    return out
-
-
-def prefix_ranks(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Ranks in suffix order of the suffixes at ``starts``, compared by their first ``length`` bytes (prefix doubling)."""
+def suffix_levels(data: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
+    """(width, ranks) by prefix doubling: of each position, the rank of its next 1, 2, 4, ... up to ``length`` values (0 to 256)."""
     n = len(data)
     rank, width = data.astype(np.int64), 1
+    levels = [(1, data.astype(np.int16))]
     while 2 * width <= length:
         after = np.zeros(n, np.int64)
-        after[: n - width] = rank[width:]
-        if width < 4:  # up to four bytes are their own key
-            rank = (rank << (8 * width)) | after
-        else:
-            rank = rank * n + after
+        after[: max(0, n - width)] = rank[width:]
+        rank = (rank << 9) | after if width < 2 else rank * (1 << 18 if width < 4 else n) + after
         width *= 2
-        if width >= 4:
+        if width >= 4:  # up to two values are their own key
             rank = np.unique(rank, return_inverse=True)[1].astype(np.int64)
-    return np.unique(rank[starts] * n + rank[starts + length - width], return_inverse=True)[1]
+        levels.append((width, rank.astype(np.int32)))
+    return levels
+
+
+def common_prefixes(levels: list[tuple[int, np.ndarray]], x: np.ndarray, y: np.ndarray, length: int) -> np.ndarray:
+    """Of pairs of positions: how many values they have in common from there on, ``length`` at most."""
+    out, last = np.zeros(len(x), np.int64), len(levels[0][1]) - 1
+    for width, rank in reversed(levels):
+        same = rank[np.minimum(x + out, last)] == rank[np.minimum(y + out, last)]
+        out += width * (same & (out + width <= length))
+    return out
+
+
+def _previous_smaller(place: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """Of each suffix, in suffix order: the common prefix with the last one before it that has a smaller place.
+
+    ``lcp`` is that with the one just before. All suffixes look for theirs at
+    once and jump to what those that they meet have found so far.
+    """
+    at, common = np.arange(len(place)) - 1, lcp.copy()
+    common[:1] = 0
+    going = np.flatnonzero(common > 0)
+    going = going[place[at[going]] > place[going]]
+    while len(going):
+        met = at[going]
+        nearest, shared = at[met], np.minimum(common[going], common[met])
+        at[going], common[going] = nearest, np.where(nearest < 0, 0, shared)
+        going = going[(common[going] > 0) & (place[nearest] > place[going])]
+    return common
+
+
+def previous_factors(place: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """The LPF array in suffix order: the longer of the matches with the previous and the next suffix of smaller place."""
+    before = _previous_smaller(place, lcp)
+    behind = _previous_smaller(place[::-1], np.r_[0, lcp[:0:-1]])[::-1]
+    return np.maximum(before, behind)
+
+
+def longest_previous_factor(text: bytes) -> np.ndarray:
+    """The LPF array of a text: of each position, the longest match that starts earlier."""
+    n = len(text)
+    if not n:
+        return np.empty(0, np.int64)
+    # behind the end stand zeros, which no byte equals
+    levels = suffix_levels(np.r_[np.frombuffer(text, np.uint8).astype(np.int16) + 1, np.zeros(n, np.int16)], n)
+    width, rank = levels[-1]
+    order = np.lexsort((rank[np.arange(n) + n - width], rank[:n]))
+    lcp = np.r_[0, common_prefixes(levels, order[:-1], order[1:], n)]
+    out = np.empty(n, np.int64)
+    out[order] = previous_factors(order, lcp)
+    return out
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -220,28 +226,31 @@ def _sorted_groups(batches, length: int, keep: str, crowded: bool):
         base = np.r_[0, np.cumsum([len(r[8]) for r in rows])[:-1]]
         span = np.repeat(np.arange(len(rows)), count)
         inside = np.arange(len(span)) - np.repeat(np.cumsum(count) - count, count)
-        rank = prefix_ranks(data, base[span] + inside, length)
+        at = base[span] + inside
         group = np.unique(np.array([(r[0], r[1]) for r in rows], np.int64), axis=0, return_inverse=True)[1].reshape(-1)[span]
         doc = np.array([r[3] for r in rows], np.int64)[span]
         node = np.array([r[4] for r in rows], np.int64)[span]
         start = np.array([r[6] for r in rows], np.int64)[span] + inside
         many = np.array([r[2] for r in rows], np.int64)[span]
-        # suffix order; equal prefixes in text order, so the first of a run has no smaller position in it
-        order = np.lexsort((start, node, doc, rank, group))
-        new = np.r_[True, (rank[order][1:] != rank[order][:-1]) | (group[order][1:] != group[order][:-1])]
-        head = np.flatnonzero(new)
-        total = np.add.reduceat(many[order], head)
-        if crowded:
-            lead = order[head]
-            at = (base[span] + inside)[lead]
-            raw = data.tobytes()
-            wh = np.array([xxhash.xxh3_64_intdigest(raw[x : x + length]) for x in at.tolist()], np.uint64).view(np.int64)
-            fp = np.array([r[0] for r in rows], np.int64)[span[lead]]
-            # windows that are repeated within the lot are settled here, but for the first in mode "first"
-            local = _settled(order, new, np.repeat(total, np.diff(np.r_[head, len(order)])), many, keep)
-            return (fp, wh, total, doc[lead], node[lead], start[lead].astype(np.int32)), _runs(np.sort(local), span, start, node)
-        hit = _settled(order, new, np.repeat(total, np.diff(np.r_[head, len(order)])), many, keep)
-        return None, _runs(np.sort(hit), span, start, node)
+        place = np.empty(len(at), np.int64)
+        place[np.lexsort((start, node, doc))] = np.arange(len(at))
+        levels = suffix_levels(data, length)
+        width, rank = levels[-1]
+        order = np.lexsort((place, rank[at + length - width], rank[at], group))
+        lcp = np.r_[0, common_prefixes(levels, at[order[:-1]], at[order[1:]], length) * (group[order[1:]] == group[order[:-1]])]
+        if keep == "first":
+            again = previous_factors(place[order], lcp) >= length
+        else:  # another place, earlier or later; classes of several spans are settled as such
+            again = (np.maximum(previous_factors(place[order], lcp), previous_factors(-place[order], lcp)) >= length) & (many[order] == 1)
+        found = _runs(np.sort(order[again]), span, start, node)
+        if not crowded:
+            return None, found
+        # what is repeated within the lot is settled here; of each distinct window the lots exchange the first place
+        head = np.flatnonzero(lcp < length)
+        lead, raw = order[head], data.tobytes()
+        wh = np.array([xxhash.xxh3_64_intdigest(raw[x : x + length]) for x in at[lead].tolist()], np.uint64).view(np.int64)
+        fp = np.array([r[0] for r in rows], np.int64)[span[lead]]
+        return (fp, wh, np.add.reduceat(many[order], head), doc[lead], node[lead], start[lead].astype(np.int32)), found
 
     def emit(rows):
         opened, found = solve(rows)
@@ -257,7 +266,7 @@ def _sorted_groups(batches, length: int, keep: str, crowded: bool):
     for b in batches:
         columns = [c.to_pylist() for c in b.columns[:8]] + [as_bytes(b.column(8))]
         for r in zip(*columns, strict=True):
-            if held > 1 << 20 and last[:2] != r[:2]:
+            if held > _PIECE and last[:2] != r[:2]:
                 yield from emit(rows)
                 rows, held = [], 0
             if last == (this := (r[0], r[1], r[4], r[6])):
@@ -269,16 +278,6 @@ def _sorted_groups(batches, length: int, keep: str, crowded: bool):
         yield from emit(rows)
 
 
-def _settled(order, new, total, many, keep):
-    """Suffixes (not in order) that have another place ("none") or an earlier one ("first") in their run.
-
-    Only the first member of a class of equal spans is here; others are settled by the class.
-    """
-    if keep == "none":
-        return order[(total > many[order]) & (many[order] == 1)]
-    return order[~new]
-
-
 def _runs(hit, span, start, node):
     """Sorted suffix numbers to (node, first start, last start) of runs within a span."""
     if not len(hit):
@@ -350,7 +349,7 @@ def _covered(runs, length: int) -> list[tuple[int, int]]:
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "none") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start and end byte, flat), kept.
+    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start and end byte, flat), kept, sha (of the whole text).
 
     Texts count as UTF-8 bytes, matches don't cross documents. ``keep="none"``
     removes each byte that is covered by a string of ``length`` bytes which also
@@ -400,7 +399,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "none") ->
         pick(F.lit(1), F.col("n_spans"), F.lit(0)).cast("long").alias("n_spans"),
         pick(empty, F.col("kept_sha256"), F.col("sha")).alias("kept_sha256"),
         pick(F.array(F.lit(0), F.col("n_bytes").cast("int")), F.col("spans"), F.array().cast("array<int>")).alias("spans"),
-        F.when(~all_gone, F.col("kept")).alias("kept"), "k1",
+        F.when(~all_gone, F.col("kept")).alias("kept"), "sha",
     )
 
 
@@ -411,40 +410,30 @@ def without_later_copies(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     that had no text stay as they are. n_chars is that of the text that is left.
     """
     result = remove_repeats(docs, length, "first").where("n_removed > 0")
-    cuts = stored(result.select("doc_id", "k1", "spans").dropDuplicates(["doc_id", "k1"]), "cuts")
-    cuts = cuts.withColumnsRenamed({"doc_id": "_doc", "k1": "_key"})
+    cuts = stored(result.select(F.col("doc_id").alias("_doc"), F.col("sha").alias("_sha"), "spans").dropDuplicates(["_doc", "_sha"]), "cuts")
     columns = docs.columns
     at, size = columns.index("text"), columns.index("n_chars")
 
-    def key(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            keys = pa.array([_key(t or b"")[0] for t in as_bytes(b.column(at))], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns, keys], names=[*b.schema.names, "_k1"])
-
     def cut(batches):
         import pyarrow as pa
 
-        for b in batches:
-            spans = b.column(len(columns)).to_pylist()
-            texts, sizes = as_bytes(b.column(at)), b.column(size).to_pylist()
-            stays = []
-            for i, flat in enumerate(spans):
-                if flat:
-                    texts[i] = _whole_characters(texts[i] or b"", flat)
-                    sizes[i] = len(texts[i].decode())
-                stays.append(not flat or bool(texts[i].strip()))
-            out = list(b.columns[: len(columns)])
-            out[at] = pa.array([t if t is None else t.decode() for t in texts], pa.string())
-            out[size] = pa.array(sizes, out[size].type)
-            yield pa.RecordBatch.from_arrays(out, names=columns).filter(pa.array(stays, pa.bool_()))
-
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("_k1", T.LongType())])
-    rows = docs.mapInArrow(key, schema)
-    rows = rows.join(cuts, rows["doc_id"].eqNullSafe(cuts["_doc"]) & (rows["_k1"] == cuts["_key"]), "left").select(*columns, "spans")
+        for whole in batches:
+            for b in byte_runs(whole, at, SLICE_BYTES):
+                spans = b.column(len(columns)).to_pylist()
+                texts, sizes = as_bytes(b.column(at)), b.column(size).to_pylist()
+                stays = []
+                for i, flat in enumerate(spans):
+                    if flat:
+                        texts[i] = _whole_characters(texts[i] or b"", flat)
+                        sizes[i] = len(texts[i].decode())
+                    stays.append(not flat or bool(texts[i].strip()))
+                out = list(b.columns[: len(columns)])
+                out[at] = pa.array([t if t is None else t.decode() for t in texts], pa.string())
+                out[size] = pa.array(sizes, out[size].type)
+                yield pa.RecordBatch.from_arrays(out, names=columns).filter(pa.array(stays, pa.bool_()))
+
+    own = F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256)
+    rows = docs.join(cuts, docs["doc_id"].eqNullSafe(cuts["_doc"]) & (own == cuts["_sha"]), "left").select(*(docs[c] for c in columns), "spans")
     return rows.mapInArrow(cut, docs.schema)
 
 
