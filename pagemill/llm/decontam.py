@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batch, slices
+from .common import arrow_schema, batch, slices, stored
 
 WINDOW = 10
 #: Bytes of test items that are sent to the shards at once; more items take more passes.
@@ -33,17 +33,18 @@ def words(text: bytes | None) -> list[bytes]:
 class ShardIndex:
     """Positional postings of a shard: the places of each term, sorted, as one array of ``term * _FAR + place``."""
 
-    def __init__(self, documents: list[list[bytes]], vocabulary: dict[bytes, int], gap: int = 1):
+    def __init__(self, documents: list[np.ndarray], terms: int, gap: int = 1):
+        """``documents``: of each its words' numbers in a vocabulary of ``terms``, -1 for others."""
         sizes = np.array([len(d) for d in documents], np.int64)
         #: Where each document begins; ``gap`` free places between documents keep matches inside them.
         self.begins = np.r_[0, np.cumsum(sizes + gap)][:-1]
-        ids = np.fromiter((vocabulary.get(w, -1) for d in documents for w in d), np.int64, int(sizes.sum()))
+        ids = np.concatenate(documents).astype(np.int64) if documents else np.empty(0, np.int64)
         place = np.arange(len(ids)) + np.repeat(np.arange(len(documents)) * gap, sizes)
         known = ids >= 0
         ids, place = ids[known], place[known]
         order = np.argsort(ids, kind="stable")
         self.postings = ids[order] * _FAR + place[order]
-        edge = np.searchsorted(ids[order], np.arange(len(vocabulary) + 1))
+        edge = np.searchsorted(ids[order], np.arange(terms + 1))
         self.first, self.count = edge[:-1], np.diff(edge)
 
     def has(self, term: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -85,14 +86,21 @@ class ShardIndex:
         return begin.tolist()
 
 
-def _blocks(benchmark: DataFrame) -> list[list[tuple[int, list[bytes]]]]:
-    """The test items with words, in blocks of about BLOCK_BYTES, each read on its own."""
+def _numbers(text: bytes | None, vocabulary: dict[bytes, int]) -> np.ndarray:
+    w = words(text)
+    return np.fromiter((vocabulary.get(x, -1) for x in w), np.int32, len(w))
+
+
+def _blocks(benchmark: DataFrame) -> list:
+    """Of each block of about BLOCK_BYTES of test items: a function that reads its items that have words."""
     b = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     size = b.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     count = max(1, -(-2 * size // BLOCK_BYTES)) if size > BLOCK_BYTES else 1
-    for i in range(count):
-        part = b if count == 1 else b.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == i)
-        yield [(r.item_id, w) for r in part.collect() if (w := words(r.text.encode()))]
+
+    def read(part: DataFrame):
+        return lambda: [(r.item_id, w) for r in part.collect() if (w := words(r.text.encode()))]
+
+    return [read(b if count == 1 else b.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == i)) for i in range(count)]
 
 
 def _plan(items, window: int):
@@ -122,15 +130,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     kinds = "".join(f"{c} {t.replace('bigint', 'long')}, " for c, t in docs.select(*carry).dtypes)
     ddl = f"doc_id long, text string, {kinds}n_words long, hits array<int>, item_ids array<long>"
     spark = docs.sparkSession
-    for items in _blocks(benchmark):
-        plan = spark.sparkContext.broadcast(_plan(items, window))
+    blocks = _blocks(benchmark)
+    for k, read in enumerate(blocks):
+        plan = spark.sparkContext.broadcast(_plan(read(), window))
 
         def run(batches, plan=plan):
             vocabulary, terms, size, owners = plan.value
             schema = arrow_schema(ddl)
             for texts, ids, hits, found, *rest in slices(batches, "text", "doc_id", "hits", "item_ids", *carry):
-                documents = [words(t) for t in texts]
-                index = ShardIndex(documents, vocabulary)
+                documents = [_numbers(t, vocabulary) for t in texts]
+                index = ShardIndex(documents, len(vocabulary))
                 phrase, start = index.phrases(terms, size) if len(terms) else (np.empty(0, np.int64),) * 2
                 order = np.argsort(start, kind="stable")
                 phrase, start = phrase[order], start[order]
@@ -142,7 +151,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
                     found[d] = sorted({*found[d], *(i for p in phrase[mine].tolist() for i in owners[p])})
                 yield batch(schema, ids, [None if t is None else t.decode() for t in texts], *rest, [len(d) for d in documents], hits, found)
 
-        out = out.mapInArrow(run, ddl)
+        if k + 1 < len(blocks):  # a block's pass ends before the next block is sent
+            out = stored(out.mapInArrow(run, ddl), "pass")
+            plan.unpersist()
+        else:
+            out = out.mapInArrow(run, ddl)
     return out
 
 
@@ -177,7 +190,7 @@ def proximity(docs: DataFrame, phrases: list[str], slop: int) -> DataFrame:
     def run(batches):
         schema = arrow_schema("doc_id long, query int, at int")
         for texts, ids in slices(batches, "text", "doc_id"):
-            index = ShardIndex([words(t) for t in texts], vocabulary, gap=max(1, slop))
+            index = ShardIndex([_numbers(t, vocabulary) for t in texts], len(vocabulary), gap=max(1, slop))
             for k, q in enumerate(queries):
                 at = np.array(index.near([vocabulary[w] for w in q], slop) if q else [], np.int64)
                 own = np.searchsorted(index.begins, at, "right") - 1
