@@ -112,7 +112,9 @@ def mixed(docs: DataFrame, carry: tuple[str, ...] = (), share: float = SHARE, we
     words = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     first = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words.alias("size"), *(F.col(c).alias(f"_{c}") for c in carry))
     first = first.withColumn("h", F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(seed))).withColumn("bucket", F.shiftrightunsigned("h", 52))
-    if not carry:
+    if carry:
+        first = first.withColumn("tie", F.xxhash64(*(f"_{c}" for c in carry)))
+    else:
         first = stored(first, "sizes")
     counts = stored(first.groupBy("source", "size", "bucket").agg(F.count("*").alias("k")), "lengths")
     histogram = counts.groupBy("source", "size").agg(F.sum("k").alias("n"))
@@ -128,7 +130,8 @@ def mixed(docs: DataFrame, carry: tuple[str, ...] = (), share: float = SHARE, we
     counts = counts.join(goal_, counts["source"].eqNullSafe(goal_["source_"]))
     counts = counts.select(F.col("source").alias("s2"), F.col("size").alias("z2"), F.col("bucket").alias("b2"), "begin", "base", "more", "source_size", "target")
     out = first.join(counts, first["source"].eqNullSafe(counts["s2"]) & (first["size"] == counts["z2"]) & (first["bucket"] == counts["b2"]))
-    rank = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("h", "doc_id"))
+    # rows that share an id and a size go by what they carry, so that reruns take the same ones
+    rank = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("h", "doc_id", *(["tie"] if carry else [])))
     copies = F.col("base") + F.when(F.col("begin") + rank <= F.col("more"), 1).otherwise(0)
     out = out.withColumn("taken", (F.col("size") * copies).cast("long"))
     return out.select("doc_id", "size", "source_size", "target", "taken", *(F.col(f"_{c}").alias(c) for c in carry))
