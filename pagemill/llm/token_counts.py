@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import os
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,33 +14,33 @@ from .common import arrow_schema, batch, slices
 #: Folder of public vocabulary files; given as a parameter everywhere.
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
+# Fixed value: the pattern by which this public vocabulary's texts are split before they are encoded.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _encoders: dict = {}
 
 
-def _encoder(path: str):
+def _encoder(path: str, pattern: str = PATTERN):
     """One encoder per worker process: a byte-level BPE, from its public file of ranks."""
-    if path not in _encoders:
-        import sys
-
+    if (path, pattern) not in _encoders:
         import tiktoken
 
-        sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.realpath(path))))
-        from public_tokenizers import PATTERN
-
-        sys.path.pop(0)
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        _encoders[path] = tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encoders[path]
+        _encoders[path, pattern] = tiktoken.Encoding(os.path.basename(path), pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return _encoders[path, pattern]
+
 
+def encoded_lengths(docs: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
+    """(doc_id, n_tokens), a row per row of ``docs``: the length of each whole text in tokens.
 
-def encoded_lengths(docs: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, n_tokens): the length of each whole text in tokens; null and empty texts have 0."""
+    Null and empty texts have 0; repeated rows and null ids are rows like others;
+    an empty table gives an empty result; other columns are not looked at.
+    """
     path = os.path.join(tokenizers, vocabulary)
 
     def run(batches):
         schema = arrow_schema("doc_id long, n_tokens long")
-        encode = _encoder(path).encode_ordinary
+        encode = _encoder(path, pattern).encode_ordinary
         for texts, ids in slices(batches, "text", "doc_id"):
             yield batch(schema, ids, [len(encode(t.decode())) if t else 0 for t in texts])
 
@@ -52,7 +53,7 @@ def length_histogram(lengths: DataFrame, block: int = 4096) -> DataFrame:
     ``docs_from`` and ``tokens_from`` count documents of n_tokens or more and
     their tokens; ``truncated_tokens`` is what a context limit of n_tokens keeps
     of all documents; ``docs_share_to`` is the part of documents of n_tokens or
-    fewer (a quantile's rank). The sums are made within blocks of ``block``
+    fewer, to nine decimals (``quantile`` ranks by the counts). The sums are made within blocks of ``block``
     lengths, then over the blocks, so no task gets all lengths. Null lengths
     are left out; an empty table gives an empty result.
     """
@@ -82,5 +83,12 @@ def truncated_total(histogram: DataFrame, limit: int) -> DataFrame:
 
 
 def quantile(histogram: DataFrame, q: float) -> DataFrame:
-    """One row: q and the smallest length that at least this part of the documents doesn't exceed (null without documents)."""
-    return histogram.where(F.col("docs_share_to") >= F.lit(q) - 1e-12).agg(F.lit(q).alias("q"), F.min("n_tokens").alias("n_tokens"))
+    """One row: q and the smallest length that at least this part of the documents doesn't exceed (null without documents).
+
+    Ranks are compared as whole numbers; ``q`` counts as the simplest fraction
+    near it, so that a third of three documents is one.
+    """
+    part = Fraction(q).limit_denominator(10**9)
+    every = histogram.agg(F.max("docs_from")).first()[0] or 0
+    least = -(-part.numerator * every // part.denominator)
+    return histogram.where(F.lit(every) - F.col("docs_from") + F.col("n_docs") >= least).agg(F.lit(q).alias("q"), F.min("n_tokens").alias("n_tokens"))
