@@ -17,6 +17,8 @@ LEAST_REVISIT = 1000
 #: A task starts a new archive after about this many compressed bytes.
 ARCHIVE_BYTES = 512 << 20
 _READ = 64 << 10
+#: Bytes that the head of a record, or of its HTTP block, may have.
+MOST_HEAD = 1 << 20
 _DATE = "2024-01-01T00:00:00Z"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -58,12 +60,52 @@ def _open(path: str):
     return fs.FileSystem.from_uri(path)
 
 
+class Headers(dict):
+    """A record's named fields, found whatever the case of their names."""
+
+    def __init__(self, lines: list[str]):
+        super().__init__()
+        name = None
+        for line in lines:
+            if line[:1] in (" ", "\t") and name:  # a field that goes on
+                super().__setitem__(name, f"{self[name]} {line.strip()}")
+                continue
+            name, _, value = line.partition(":")
+            name = name.strip().lower()
+            super().__setitem__(name, value.strip())
+
+    def __getitem__(self, name: str) -> str:
+        return super().__getitem__(name.lower())
+
+    def get(self, name: str, default=None):
+        return super().get(name.lower(), default)
+
+
+class _Digest:
+    """Verifies a labelled digest ("sha1:...", in base 32 or hex); algorithms that aren't known are not verified."""
+
+    def __init__(self, label: str | None):
+        name, _, self.value = (label or "").partition(":")
+        self.hash = hashlib.new(name.lower()) if name.lower() in ("md5", "sha1", "sha256", "sha512") and self.value else None
+
+    def update(self, part: bytes) -> None:
+        if self.hash:
+            self.hash.update(part)
+
+    def holds(self) -> bool:
+        if not self.hash or self.value.lower() == self.hash.hexdigest():
+            return True
+        return self.value.upper().rstrip("=") == base64.b32encode(self.hash.digest()).decode().rstrip("=")
+
+
 def read_records(stream, keep_payload: bool = False):
-    """(headers, payload length, payload SHA-1 in hex, payload or None) of each record of a stream of gzip members.
+    """(headers, payload length, payload SHA-1 in hex, payload or None) of each record, of any type, of a stream of gzip members.
 
     Members are inflated bit by bit and framed by Content-Length; block and
-    payload digests are verified, a torn or altered archive raises ValueError.
-    Memory is bounded by the read size unless payloads are kept.
+    payload digests are verified where a record has them, a torn or altered
+    archive raises ValueError. The payload of an HTTP block is what follows its
+    head, else the block is. Memory is bounded by the read size and MOST_HEAD
+    unless payloads are kept.
     """
     rest = b""
     while True:
@@ -78,7 +120,10 @@ def read_records(stream, keep_payload: bool = False):
                 rest = z.unconsumed_tail or rest or stream.read(_READ)
                 if not rest:
                     raise ValueError("the archive ends inside a record")
-                out, rest = z.decompress(rest, _READ), b""
+                try:
+                    out, rest = z.decompress(rest, _READ), b""
+                except zlib.error as e:
+                    raise ValueError(f"not a gzip member: {e}") from None
                 if z.eof:
                     rest = z.unused_data
                 if out:
@@ -87,16 +132,19 @@ def read_records(stream, keep_payload: bool = False):
 
         while b"\r\n\r\n" not in held:
             held += (part := more())
-            if not part:
+            if not part or len(held) > MOST_HEAD:
                 raise ValueError("a record without headers")
         head, _, held = held.partition(b"\r\n\r\n")
-        version, *lines = head.decode().split("\r\n")
+        version, *lines = head.decode("utf-8", "replace").split("\r\n")
         if not version.startswith("WARC/"):
             raise ValueError(f"not a WARC record: {version[:20]!r}")
-        headers = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines)
-        left = int(headers["Content-Length"])
-        block, payload, size, kept, http = hashlib.sha1(), hashlib.sha1(), 0, [], b""
-        body = False
+        headers = Headers(lines)
+        kind, left = headers.get("WARC-Type", ""), int(headers.get("Content-Length", "-1"))
+        if left < 0:
+            raise ValueError("a record without a Content-Length")
+        block, payload = _Digest(headers.get("WARC-Block-Digest")), _Digest(None if kind == "revisit" else headers.get("WARC-Payload-Digest"))
+        sha1, size, kept, http = hashlib.sha1(), 0, [], b""
+        body = not headers.get("Content-Type", "").lower().startswith("application/http")
         while left:
             held = held or more()
             if not held:
@@ -107,9 +155,12 @@ def read_records(stream, keep_payload: bool = False):
             if not body:
                 http += part
                 if b"\r\n\r\n" not in http:
+                    if len(http) > MOST_HEAD:
+                        raise ValueError("an HTTP head that doesn't end")
                     continue
                 body, part = True, http.partition(b"\r\n\r\n")[2]
             payload.update(part)
+            sha1.update(part)
             size += len(part)
             if keep_payload:
                 kept.append(part)
@@ -117,12 +168,11 @@ def read_records(stream, keep_payload: bool = False):
             held += part
         if held != b"\r\n\r\n":
             raise ValueError("a record that doesn't end with two line breaks")
-        b32 = lambda h: "sha1:" + base64.b32encode(h.digest()).decode()
-        if headers["WARC-Block-Digest"] != b32(block):
+        if not block.holds():
             raise ValueError("a block digest that doesn't match")
-        if headers["WARC-Type"] != "revisit" and headers["WARC-Payload-Digest"] != b32(payload):
+        if not payload.holds():
             raise ValueError("a payload digest that doesn't match")
-        yield headers, size, payload.hexdigest(), b"".join(kept) if keep_payload else None
+        yield headers, size, sha1.hexdigest(), b"".join(kept) if keep_payload else None
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = LEAST_REVISIT) -> DataFrame:
@@ -172,9 +222,19 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_REVISIT) ->
     return stored(p.mapInArrow(run, "path string, records long"), "manifest")
 
 
+def _revisited(head: Headers, own: str) -> str:
+    """The SHA-1 in hex that a revisit record gives of the payload it refers to; that of its own block if it gives none."""
+    name, _, value = head.get("WARC-Payload-Digest", "").partition(":")
+    if name.lower() != "sha1":
+        return own
+    return value.lower() if len(value) == 40 else base64.b32decode(value.upper()).hex()
+
+
 def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
     """A row for each record of the listed archives: page_id, url, payload_bytes, payload_digest (hex), record_type, refers_to, payload.
 
+    Records of any type count; page_id and refers_to are null for those of
+    other writers. ``records``, where it isn't null, is how many an archive has.
     payload_bytes and payload_digest are those of the full payload, for revisits
     as their headers say; payload is null unless asked for.
     """
@@ -190,15 +250,14 @@ def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
                 with store.open_input_stream(name, compression=None) as stream:
                     for head, size, sha1, payload in read_records(stream, payloads):
                         seen += 1
-                        revisit = head["WARC-Type"] == "revisit"
-                        if revisit:
-                            sha1, size = base64.b32decode(head["WARC-Payload-Digest"][5:]).hex(), int(head["X-Payload-Length"])
-                        out.append((number(head["X-Page-ID"]), head["WARC-Target-URI"], size, sha1, head["WARC-Type"], number(head.get("X-Refers-To-Page-ID")), payload))
+                        if head.get("WARC-Type") == "revisit":
+                            sha1, size = _revisited(head, sha1), int(head.get("X-Payload-Length", size))
+                        out.append((number(head.get("X-Page-ID")), head.get("WARC-Target-URI"), size, sha1, head.get("WARC-Type"), number(head.get("X-Refers-To-Page-ID")), payload))
                         held += len(payload or b"") + 200
                         if held > 4 << 20:
                             yield batch(schema, *zip(*out, strict=True))
                             out, held = [], 0
-                if seen != records:
+                if records is not None and seen != records:
                     raise ValueError(f"{path}: {seen} records, {records} written")
                 if out:
                     yield batch(schema, *zip(*out, strict=True))
