@@ -28,7 +28,10 @@ from .common import arrow_schema, as_bytes, batch
 
 #: Items of one level of a wrapper; longer levels have one item a key, and all keys.
 LEVEL = 48
+#: Levels that a wrapper describes; what lies deeper is read, but isn't aligned.
 DEPTH = 120
+#: Open elements that a start tag looks through for those that it closes.
+REACH = 1000
 #: Wrappers go to the tasks by broadcast up to so many bytes, beyond that by a join.
 SENT_BYTES = 32 << 20
 #: Pages of a host that have to share a text before it counts as template.
@@ -108,6 +111,13 @@ def parse(page: str) -> Node:
     """The tree of a page; unclosed and misplaced tags are mended, anything parses."""
     root = Node("#root")
     stack = [root]
+    open_: Counter = Counter()
+
+    def close(i: int) -> None:
+        for node in stack[i:]:
+            open_[node.tag] -= 1
+        del stack[i:]
+
     at, end = 0, len(page)
     while at < end:
         m = _TOKEN.match(page, at)
@@ -123,34 +133,35 @@ def parse(page: str) -> Node:
             continue
         tag = _NAME.match(token)[1].lower()
         if token[1] == "/":
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if open_[tag] else ():
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in ("table", "article", "main") and tag not in ("body", "html", "article", "main", "section", "div", "table"):
                     break
             continue
         closed = CLOSED_BY.get(tag)
         if closed:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, max(0, len(stack) - REACH), -1):
                 if stack[i].tag in closed:
-                    del stack[i:]
+                    close(i)
                 elif stack[i].tag in SCOPE[tag]:
                     break
         elif tag in BLOCK:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if open_["p"] else ():
                 if stack[i].tag == "p":
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in BLOCK:
                     break
         node = Node(tag, *_looks(tag, token), stack[-1].place)
         stack[-1].children.append(node)
         if tag in RAW:
-            close = _RAW_END[tag].search(page, at)
-            at = close.start() if close else end
-        if tag not in VOID and not token.endswith("/>") and len(stack) < DEPTH:
+            over = _RAW_END[tag].search(page, at)
+            at = over.start() if over else end
+        if tag not in VOID and not token.endswith("/>"):
             stack.append(node)
+            open_[tag] += 1
     return root
 
 
@@ -172,14 +183,14 @@ def _page(page: str) -> list:
     return [*_item(root), [whole]]
 
 
-def _item(node: Node) -> list:
+def _item(node: Node, level: int = 0) -> list:
     items = []
-    for c in node.children:
+    for c in node.children if level < DEPTH else ():
         if isinstance(c, str):
             if not c.isspace():
                 items.append(["#", "1", 1, [], _same(c), len(c), []])
         elif c.around < 2:
-            items.append(_item(c))
+            items.append(_item(c, level + 1))
         else:
             items.append([c.key, "1", 1, [], None, 0, []])
     repeats = sorted(k for k, n in Counter(x[0] for x in items).items() if n > 1)
@@ -335,12 +346,14 @@ def _region(wrapper: list | None, shared: set[tuple[int, str]]) -> tuple[list[st
 
 def _regions(node: Node, level: int, out: list[Node], named: bool = False) -> None:
     """Parts of a level or more; with ``named`` inside elements too that only their names call other than the article."""
-    for c in node.children:
+    todo = node.children[::-1]
+    while todo:
+        c = todo.pop()
         if isinstance(c, Node) and (not c.around or named and c.around == 1) and c.tag != "header":
             if c.main >= level:
                 out.append(c)
             else:
-                _regions(c, level, out, named)
+                todo += c.children[::-1]
 
 
 def _marked(node: Node) -> tuple[int, list[Node]]:
@@ -357,23 +370,25 @@ def _marked(node: Node) -> tuple[int, list[Node]]:
 _HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
-def _blocks(node: Node, shared: set[tuple[int, str]], out: list[list[str]], in_header: bool = False) -> None:
+def _blocks(node: Node, shared: set[tuple[int, str]], out: list[list[str]]) -> None:
     """Pieces of text of each block below a node, without the texts ``shared`` by the host's pages at their places."""
-    for c in node.children:
-        if isinstance(c, str):
-            if not in_header or node.tag in _HEADING:
-                if not (shared and (node.place, _same(c)) in shared):
+    todo = [(node, c, False) for c in reversed(node.children)]
+    while todo:
+        above, c, in_header = todo.pop()
+        if c is None:
+            out.append([])
+        elif isinstance(c, str):
+            if not in_header or above.tag in _HEADING:
+                if not (shared and (above.place, _same(c)) in shared):
                     out[-1].append(html.unescape(c))
         elif c.tag == "br":
             out[-1].append("\n")
         elif not c.around:
-            header = c.tag in _HEADING and in_header
-            block = c.tag in BLOCK
-            if block:
-                out.append([])
-            _blocks(c, shared, out, (in_header and not header) or c.tag == "header" or c.key.endswith(".header"))
-            if block:
+            if c.tag in BLOCK:
                 out.append([])
+                todo.append((above, None, False))
+            inside = (in_header and c.tag not in _HEADING) or c.tag == "header" or c.key.endswith(".header")
+            todo += [(c, x, inside) for x in reversed(c.children)]
 
 
 def _content(found: list[Node], shared: set[tuple[int, str]]) -> str:
@@ -422,11 +437,13 @@ class Reading:
 
 
 def _open(node: Node, place: int) -> None:
-    for c in node.children:
-        if isinstance(c, Node):
-            if c.place == place:
-                c.around = 0
-            _open(c, place)
+    todo = [node]
+    while todo:
+        for c in todo.pop().children:
+            if isinstance(c, Node):
+                if c.place == place:
+                    c.around = 0
+                todo.append(c)
 
 
 def extract(page: str, wrapper: list | Reading | None = None) -> str:
