@@ -61,7 +61,7 @@ def parse(formatted: str):
 def messages(events: DataFrame) -> DataFrame:
     """(conv_id, seq, role, text): final messages, at the place of their first event.
 
-    Kinds: ``message`` is a whole message of its own; ``start`` opens message
+    Kinds: ``message``, or an event without a msg_id, is a whole message of its own; ``start`` opens message
     ``msg_id``, ``delta`` appends to it, ``edit`` replaces its text, ``regenerate``
     discards it and further deltas write it anew, ``delete`` removes it until a
     later event writes it again. Events of a message apply in the order of seq;
@@ -70,7 +70,10 @@ def messages(events: DataFrame) -> DataFrame:
     ``message``, an unknown kind raises.
     """
     e = events.select("conv_id", F.col("seq").cast("long").alias("seq"), F.coalesce("kind", F.lit("message")).alias("kind"), F.col("msg_id").cast("string").alias("msg_id"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    whole = e.where("kind = 'message' or msg_id is null").select("conv_id", "seq", "role", "text")
+    # a whole message is a log of one event, under a name that no other has
+    whole = (F.col("kind") == "message") | F.col("msg_id").isNull()
+    name = F.when(whole, F.concat(F.lit("0:"), F.monotonically_increasing_id().cast("string"))).otherwise(F.concat(F.lit("1:"), F.col("msg_id")))
+    e = e.select("conv_id", name.alias("msg_id"), "seq", F.when(whole, "start").otherwise(F.col("kind")).alias("kind"), "role", "text")
     ddl = "conv_id long, seq long, role string, text string"
 
     def fold(batches):
@@ -101,9 +104,8 @@ def messages(events: DataFrame) -> DataFrame:
         if out:
             yield batch(schema, *zip(*out, strict=True))
 
-    parts = e.where("kind <> 'message' and msg_id is not null").select("conv_id", "msg_id", "seq", "kind", "role", "text")
-    parts = parts.repartition("conv_id", "msg_id").sortWithinPartitions("conv_id", "msg_id", "seq", F.expr("array_position(array('start','edit','regenerate','delta','delete'), kind)"), "role", "text")
-    return whole.union(parts.mapInArrow(fold, ddl))
+    order = F.expr("array_position(array('start','edit','regenerate','delta','delete'), kind)")
+    return e.repartition("conv_id", "msg_id").sortWithinPartitions("conv_id", "msg_id", "seq", order, "role", "text").mapInArrow(fold, ddl)
 
 
 def formatted(final: DataFrame, learn: tuple[str, ...] = ("assistant",)) -> DataFrame:

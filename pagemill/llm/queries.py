@@ -44,9 +44,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = table(spark, sf_dir, "conversations").select(
-        F.col("conv_id").cast("long"), F.col("turn").cast("long").alias("seq"), F.lit("message").alias("kind"), F.lit(None).cast("string").alias("msg_id"), "role", "text"
-    )
+    # a row is a message of its own, whatever rows share its turn: it is opened and its text arrives as a delta
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", F.monotonically_increasing_id().cast("string").alias("msg_id"))
+    none, turn = F.lit(None).cast("string"), F.col("turn").cast("long") * 2
+    event = lambda seq, kind, role, text: F.struct(seq.alias("seq"), F.lit(kind).alias("kind"), F.col("msg_id"), role.alias("role"), text.alias("text"))
+    log = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.inline(F.array(event(turn, "start", F.col("role"), none), event(turn + 1, "delta", none, F.col("text")))))
     # the added conversation arrives as a streamed log, with an edit and a regeneration
     extra = [
         (-7, 0, "start", "u", "user", "draft"), (-7, 1, "edit", "u", None, TRICKY),
