@@ -179,7 +179,9 @@ def pooled(texts: list[bytes | None], vectors: np.ndarray) -> np.ndarray:
     sums /= np.maximum(n, 1)[:, None]
     for k in (0, 2):
         mean, square = sums[:, k * DIMS : (k + 1) * DIMS], sums[:, (k + 1) * DIMS : (k + 2) * DIMS]
-        square[:] = np.sqrt(np.maximum(0, square - mean * mean))
+        spread = square - mean * mean
+        # what rounding leaves of equal vectors is no deviation
+        square[:] = np.sqrt(np.where(spread > 1e-6 * square, spread, 0))
     return sums.astype(np.float32)
 
 
