@@ -129,9 +129,8 @@ def test_deep_pages():
     assert html_wrappers.extract(f"<body>{deep}</body>", html_wrappers._merged(page, page)) == "text\nmore"
 
 
-def test_class_names_are_whole_words():
+def test_class_names_that_tell_of_something_else():
     assert html_wrappers.extract("<div class='content with-sidebar'><p>a</p></div>") == "a"
-    assert html_wrappers.extract("<article><div class='social-science'><p>a</p></div></article>") == "a" or html_wrappers.extract("<article><p>a</p></article>") == "a"
 
 
 def plain_pooled(text, vectors):
@@ -188,7 +187,8 @@ def test_slices_cut_by_bytes():
     import pyarrow as pa
 
     b = pa.RecordBatch.from_arrays([pa.array(["a" * 100, None, "", "b" * 1000, "c"]), pa.array(range(5))], names=["text", "id"])
-    assert [p.num_rows for p in byte_runs(b, 0, 300)] == [3, 1, 1] or sum(p.num_rows for p in byte_runs(b, 0, 300)) == 5
+    parts = list(byte_runs(b, 0, 300))
+    assert len(parts) > 1 and [x for p in parts for x in p.column(1).to_pylist()] == [0, 1, 2, 3, 4]
     assert [x for _, ids in slices([b], "text", "id", size=200) for x in ids] == [0, 1, 2, 3, 4]
 
 
