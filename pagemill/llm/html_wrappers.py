@@ -48,6 +48,9 @@ SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 AROUND = set("ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored sponsors promo promos promotion banner nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside footer masthead cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond widget widgets pagination pager skip toolbar search searchbox contentinfo complementary".split())
 # First parts of names that tell of something else than the element: has-sidebar, no-comments.
 ABOUT = set("has have no not non with without".split())
+# Words of AROUND that are subjects too (social-science, search-theory), and parts of names that tell that no subject is meant.
+SUBJECTS = set("social search share notice alert promotion".split())
+FURNITURE = set("area bar block box btn button buttons container content count danger field follow form global header icon icons info inner input item items label link links list main media message mobile network networks page panel post row section site success text this title top warning wrap wrapper".split())
 HEADER = {"header", "pageheader", "siteheader", "topbar"}
 MAIN = set("article content main post entry story articlebody postcontent entrycontent maincontent articlecontent".split())
 
@@ -78,7 +81,15 @@ def _beside(value: str) -> bool:
         return True
     if any(_SPLIT.sub("", v) in MAIN for v in whole):
         return False
-    return any(p in AROUND for v in whole if (parts := _SPLIT.split(v))[0] not in ABOUT for p in parts)
+    return any(_marks(parts) for v in whole if (parts := _SPLIT.split(v))[0] not in ABOUT)
+
+
+def _marks(parts: list[str]) -> bool:
+    """Whether the parts of one name mark what isn't the article; a subject alone doesn't, unless the rest names furniture or a number."""
+    marks = [p for p in parts if p in AROUND]
+    if len(marks) == 1 and marks[0] in SUBJECTS:
+        return all(p in FURNITURE or p.isdigit() or p in ("", marks[0]) for p in parts)
+    return bool(marks)
 
 
 def _looks(tag: str, token: str) -> tuple[str, int, int]:

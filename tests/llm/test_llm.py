@@ -247,6 +247,8 @@ def test_names_do_not_hide_the_article():
     assert x("<div class='sidebar-layout'><article>the text</article></div><p>b</p>") == "the text"
     assert x("<p>the text</p><div class=related><article>b</article></div>") == "the text"
     assert x("<article><p>a <math><mi>x</mi></math> b</p><object>c</object><noscript>d</noscript><div hidden>e</div></article>") == "a x b\ncd"
+    assert x("<article><p>a</p><section class='social-science'>b</section><div class='social-links'>c</div><div class='site-search'>d</div></article>") == "a\nb"
+    assert x("<article><p>a</p><div class='share-2'>b</div><div class='social-share-theory'>c</div><div id=notice-theory>d</div></article>") == "a\nd"
     pages = [f"<body><div class=social><p>{f'long {i} ' * 9}</p></div><p>{i}</p><nav>n</nav></body>" for i in range(5)]
     assert x(pages[2], wrapper_of(pages)) == " ".join(["long 2"] * 9) + "\n2"
 
