@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import io
+import re
 from collections import Counter
 
 import numpy as np
@@ -115,6 +116,19 @@ def test_repeats_in_a_very_long_text(spark):
     assert got == whole_windows(rows, 400, "none")
 
 
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_copies_of_a_passage_do_not_meet_in_a_join(spark, keep):
+    rng = np.random.default_rng(11)
+    shared = [bytes(rng.integers(97, 123, 150).astype(np.uint8)) for _ in range(6)]
+    rows = [(i, b"%d " % i + b" %d " % (i % 5) + b"|%d|".join(shared[:5]).replace(b"%d", b"%d" % i)) for i in range(40)]  # near copies
+    rows += [(50, shared[5]), (51, b"once " + shared[5]), (52, rows[3][1]), (53, b"x" * 90)]
+    d = docs(spark, [(i, t.decode()) for i, t in rows])
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(d, 40, keep).collect()}
+    assert got == whole_windows(rows, 40, keep)
+    plan = suffix_dedup._removed_runs(d, 40, keep)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and not re.search(r"Join .*\bsh#", plan)
+
+
 def test_previous_factors_of_runs():
     text = b"a" * 300 + b"b" + b"a" * 200
     lpf = suffix_dedup.longest_previous_factor(text)
